@@ -18,6 +18,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import langid
+
+    held = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 4 = 2"), F.lit(False))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held.alias("held_out"))
+    return langid.predict_table(docs, langid.train(docs.where("not held_out")), keep=("doc_id", "held_out"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import simhash
 
@@ -25,7 +33,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op5_simhash)}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import pii
+
+    return pii.scan_table(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_bpe, op4_langid, op5_simhash, op7_pii)}
 
 
 def queries() -> dict:
