@@ -39,7 +39,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_table(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op4_langid, op5_simhash, op7_pii)}
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import minhash
+
+    return minhash.against_neighbours(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_bpe, op4_langid, op5_simhash, op7_pii, op9_minhash)}
 
 
 def queries() -> dict:
