@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import html
+
+    return html.extract_table(_table(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,6 +39,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import licenses
+
+    return licenses.scan_table(_table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import pii
 
@@ -45,7 +57,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.against_neighbours(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op4_langid, op5_simhash, op7_pii, op9_minhash)}
+QUERIES = {f.__name__: f for f in (op2_html, op3_bpe, op4_langid, op5_simhash, op6_licenses, op7_pii, op9_minhash)}
 
 
 def queries() -> dict:
@@ -53,4 +65,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tessera.llm import licenses
+
+    return {"op6_licenses": licenses.oracle_sql()}
