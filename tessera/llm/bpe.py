@@ -14,16 +14,19 @@ import heapq
 import json
 from itertools import chain
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import per_batch
 
-#: Words kept encoded between batches; the cache starts anew when it is full.
-CACHE_WORDS = 250_000
+#: Words kept encoded between batches, in each of two generations: when the young one is full, it replaces the old one.
+CACHE_WORDS = 500_000
 #: Longest word that is cached; longer ones are encoded anew each time.
 CACHE_LENGTH = 64
+#: Larger than any id: a pair of ids is one key. Symbols between words, and of positions that were merged away.
+KEY, END, GONE = 1 << 20, -1, -2
 
 # fixed value: the published pre-tokenisation pattern of this vocabulary
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -62,13 +65,21 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts batch by batch; keeps the words it has met, up to CACHE_WORDS."""
+    """Encodes texts batch by batch; keeps the words it has met, in two generations."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.words = regex.compile(PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+        self.byte_ids = np.array(vocabulary.byte_ids, np.int64)
+        keys = np.array([a * KEY + b for a, b in vocabulary.rank], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.rank_of_key = keys[order], np.array(list(vocabulary.rank.values()), np.int64)[order]
+        self.merges = {r: (a, b, vocabulary.made[r]) for (a, b), r in vocabulary.rank.items()}
+        #: One object for each id, however many words hold it.
+        self.shared = list(range(1 + max(vocabulary.ids.values(), default=0)))
 
     def split(self, text: str) -> list[str]:
         """The words of a text, special tokens among them."""
@@ -80,83 +91,89 @@ class Encoder:
             at = m.end()
         return out + self.words.findall(text[at:])
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, -1 if it has none."""
+        keys = left * KEY + right
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where((self.keys[at] == keys) & (left >= 0) & (right >= 0), self.rank_of_key[at], -1)
+
     def merge(self, words: list[str]) -> list[tuple[int, ...]]:
         """The ids of each word, by one pair occurrence index over all of them."""
-        byte_ids, rank, made = self.v.byte_ids, self.v.rank, self.v.made
-        symbols: list[int] = []
-        bounds = []
-        for w in words:
-            bounds.append(len(symbols))
-            symbols += [byte_ids[b] for b in w.encode()]
-            symbols.append(-1)
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)):
-            r = rank.get(pair)
-            if r is not None:
+        coded = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        ends = np.cumsum(sizes + 1) - 1
+        n = int(ends[-1]) + 1 if len(coded) else 0
+        # words are set apart by END, a symbol of no pair; one more stands before the first
+        symbols = np.append(self.byte_ids[np.frombuffer(b"\0".join([*coded, b""]), np.uint8)], END)
+        symbols[ends] = END
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        before[0] = n
+        index: dict[int, list[np.ndarray]] = {}
+
+        def enter(places: np.ndarray, ranks: np.ndarray) -> None:
+            some = ranks >= 0
+            places, ranks = places[some], ranks[some]
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            heads = ranks[np.concatenate([[0], cuts])].tolist() if len(ranks) else []
+            for r, part in zip(heads, np.split(places, cuts), strict=False):
                 if r in index:
-                    index[r].append(i)
+                    index[r].append(part)
                 else:
-                    index[r] = [i]
-        pairs = {r: p for p, r in rank.items()} if not hasattr(self, "_pairs") else self._pairs
-        self._pairs = pairs
-        active = list(index)
-        heapq.heapify(active)
+                    index[r] = [part]
+                    heapq.heappush(active, r)
+
+        active: list[int] = []
+        enter(np.arange(n), self._ranks(symbols[:-1], symbols[1:]))
         while active:
             r = heapq.heappop(active)
-            places = index.pop(r, None)
-            if places is None:
+            left, right, new = self.merges[r]
+            places = np.unique(np.concatenate(index.pop(r)))
+            places = places[symbols[places] == left]
+            places = places[symbols[after[places]] == right]
+            if left == right:
+                # of overlapping pairs the first is merged
+                kept, taken = [], -1
+                for i, j in zip(places.tolist(), after[places].tolist(), strict=True):
+                    if i != taken:
+                        kept.append(i)
+                        taken = j
+                places = np.array(kept, np.int64)
+            if not len(places):
                 continue
-            left, right = pairs[r]
-            new = made[r]
-            places.sort()
-            for i in places:
-                if symbols[i] != left or (j := after[i]) >= n or symbols[j] != right:
-                    continue
-                symbols[i], symbols[j] = new, -2
-                k = after[j]
-                after[i] = k
-                if k < n:
-                    before[k] = i
-                    s = rank.get((new, symbols[k]))
-                    if s is not None:
-                        if s in index:
-                            index[s].append(i)
-                        else:
-                            index[s] = [i]
-                            heapq.heappush(active, s)
-                h = before[i]
-                if h >= 0:
-                    s = rank.get((symbols[h], new))
-                    if s is not None:
-                        if s in index:
-                            index[s].append(h)
-                        else:
-                            index[s] = [h]
-                            heapq.heappush(active, s)
-        bounds.append(n)
-        return [tuple(x for x in symbols[a : b - 1] if x >= 0) for a, b in zip(bounds, bounds[1:], strict=False)]
+            gone = after[places]
+            symbols[places], symbols[gone] = new, GONE
+            beyond = after[gone]
+            after[places], before[beyond] = beyond, places
+            ahead = before[places]
+            enter(np.concatenate([places, ahead]), self._ranks(np.concatenate([symbols[places], symbols[ahead]]), np.concatenate([symbols[beyond], symbols[places]])))
+        kept = symbols[:n] >= 0
+        ids = list(map(self.shared.__getitem__, symbols[:n][kept].tolist()))
+        stops = np.cumsum(kept)[ends].tolist()
+        return [tuple(ids[a:b]) for a, b in zip([0, *stops], stops, strict=False)]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """The ids of each text."""
         split = [self.split(t or "") for t in texts]
-        cache = self.cache
-        fresh = {w for ws in split for w in ws if w not in cache}
-        for s, i in self.v.special.items():
-            if s in fresh:
-                fresh.discard(s)
-                cache[s] = (i,)
-        if len(cache) + len(fresh) > CACHE_WORDS:
-            cache = self.cache = {s: (i,) for s, i in self.v.special.items()}
-            fresh = {w for ws in split for w in ws} - cache.keys()
-        order = list(fresh)
-        found = dict(zip(order, self.merge(order), strict=True))
-        cache.update(found)
-        out = [list(chain.from_iterable(map(cache.__getitem__, ws))) for ws in split]
-        for w in order:
+        met = set().union(*split)
+        if len(self.young) + len(met) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        fresh = []
+        for w in met.difference(young):
+            if (found := old.get(w)) is not None:
+                young[w] = found
+            elif w in self.v.special:
+                young[w] = (self.v.special[w],)
+            else:
+                fresh.append(w)
+        young.update(zip(fresh, self.merge(fresh), strict=True))
+        out = [list(chain.from_iterable(map(young.__getitem__, ws))) for ws in split]
+        for w in fresh:
             if len(w) > CACHE_LENGTH:
-                del cache[w]
+                del young[w]
         return out
 
 
