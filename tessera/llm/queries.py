@@ -51,13 +51,19 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_table(_table(spark, sf_dir, "documents"))
 
 
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import hnsw
+
+    return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import minhash
 
     return minhash.against_neighbours(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html, op3_bpe, op4_langid, op5_simhash, op6_licenses, op7_pii, op9_minhash)}
+QUERIES = {f.__name__: f for f in (op2_html, op3_bpe, op4_langid, op5_simhash, op6_licenses, op7_pii, op8_hnsw, op9_minhash)}
 
 
 def queries() -> dict:
