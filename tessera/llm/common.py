@@ -57,7 +57,8 @@ def per_batch(df: DataFrame, fn: Callable[[list[list]], list[list]], schema: str
                 got = fn([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(got, arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, struct)
+    # by place: a column may be asked for twice
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).mapInArrow(run, struct)
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:

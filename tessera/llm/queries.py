@@ -10,6 +10,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Domains of a document by its labels, and their shares of the mixture's tokens.
+DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'high' WHEN quality = 0 THEN 'low' END"
+WEIGHTS = {"high": 0.7, "low": 0.29, "toxic": 0.01}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import mixing
+
+    docs = _table(spark, sf_dir, "documents")
+    model = mixing.train(docs, _table(spark, sf_dir, "labels"), F.expr(DOMAIN))
+    return mixing.mix(docs, model, WEIGHTS).withColumn("domain", F.get(F.array(*map(F.lit, model.domains)) if model.domains else F.array(F.lit("")), F.array_position("posterior", F.array_max("posterior")).cast("int") - 1))
+
+
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import html
 
@@ -63,7 +76,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.against_neighbours(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html, op3_bpe, op4_langid, op5_simhash, op6_licenses, op7_pii, op8_hnsw, op9_minhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_html, op3_bpe, op4_langid, op5_simhash, op6_licenses, op7_pii, op8_hnsw, op9_minhash)}
 
 
 def queries() -> dict:
