@@ -76,7 +76,13 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.against_neighbours(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_html, op3_bpe, op4_langid, op5_simhash, op6_licenses, op7_pii, op8_hnsw, op9_minhash)}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import repeats
+
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_html, op3_bpe, op4_langid, op5_simhash, op6_licenses, op7_pii, op8_hnsw, op9_minhash, op10_repeats)}
 
 
 def queries() -> dict:
