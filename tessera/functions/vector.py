@@ -44,7 +44,8 @@ def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
     if metric == "dot_product":
         return -dot(a, b)
     na, nb = norm(a), norm(b)
-    sim = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / (na * nb)))
+    raw = dot(a, b) / (na * nb)
+    sim = F.when(raw > 1, 1.0).when(raw < -1, -1.0).otherwise(raw)
     return F.when((na < 1e-12) | (nb < 1e-12), 1.0).otherwise(1 - sim)
 
 
@@ -53,7 +54,7 @@ def score(d: Column, metric: str = "cosine") -> Column:
     metric = metric_name(metric)
     if metric == "cosine":
         return 1 - d
-    return -d if metric == "dot_product" else 1 / (1 + F.greatest(F.lit(0.0), d))
+    return -d if metric == "dot_product" else 1 / (1 + F.when(d < 0, 0.0).otherwise(d))
 
 
 def np_distance(q: np.ndarray, x: np.ndarray, metric: str = "cosine") -> np.ndarray:

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.errors import QueryError
 from tessera.functions import vector as vx
@@ -46,6 +48,7 @@ def knn_join(queries: DataFrame, base: DataFrame, query_key: str, base_key: str,
         raise QueryError(f"knn_join takes {MOST_QUERIES} queries at a time")
     spark = base.sparkSession
     schema = f"query {queries.schema[query_key].dataType.simpleString()}, neighbour {base.schema[base_key].dataType.simpleString()}, distance double"
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
     if not rows:
         return spark.createDataFrame([], schema).withColumn("score", F.col("distance"))
     q = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
@@ -67,7 +70,8 @@ def knn_join(queries: DataFrame, base: DataFrame, query_key: str, base_key: str,
             top = np.argsort(d, axis=1, kind="stable")[:, :k]
             keep_d, keep_k = np.take_along_axis(d, top, 1), np.take_along_axis(ks, top, 1)
         if keep_d.size:
-            yield pa.RecordBatch.from_pydict({"query": [n for n in names for _ in range(keep_d.shape[1])], "neighbour": keep_k.ravel().tolist(), "distance": keep_d.ravel()})
+            cols = ([n for n in names for _ in range(keep_d.shape[1])], keep_k.ravel().tolist(), keep_d.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
     part = base.select(base_key, vector).where(vx.usable(F.col(vector), len(rows[0][1]))).mapInArrow(run, schema)
     best = Window.partitionBy("query").orderBy("distance", "neighbour")

@@ -12,6 +12,9 @@ from tessera.functions import spatial as sx
 from tessera.functions import text as tx
 from tessera.functions import vector as vx
 from tessera.operators import evaluation, knn, relational, search, spatial
+from tessera.plans import views
+from tessera.scratch import folder
+from tessera.sources import csv as csv_source
 from tessera.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -612,6 +615,67 @@ def ext_window_functions(t):
     return t("orders").select("o_orderkey", "o_custkey", F.row_number().over(w).cast("long").alias("nth"), F.round(F.col("o_totalprice") - F.lag("o_totalprice").over(w), 2).alias("change"))
 
 
+# ---- the dialect, and stored indexes -------------------------------------------------------------------------------
+
+
+def _dialect(name: str, text: str, oracle: str, tables: dict[str, str | None]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+        found = {n: (read(n), key) for n, key in tables.items() if n != "places"}
+        if "places" in tables:
+            found["places"] = (_points(read).select("c_custkey", "c_nationkey", F.struct("lon", "lat").alias("spot")), "c_custkey")
+        out = views.sql(spark, text, found)
+        return out.select(*[(F.round(c, 6) if kind == "double" else F.col(f"`{c}`")).alias(c.rpartition(".")[2]) for c, kind in out.dtypes if not kind.startswith("struct")])
+
+    QUERIES[name], ORACLES[name] = run, oracle
+
+
+_dialect("dialect_filter", "SELECT p_partkey, p_brand FROM part WHERE p_size >= 40 ORDER BY p_brand DESC, p_partkey LIMIT 30", "SELECT p_partkey, p_brand FROM part WHERE p_size >= 40 ORDER BY p_brand DESC, p_partkey LIMIT 30", {"part": "p_partkey"})
+_dialect("dialect_join", "SELECT customer.c_name, orders.o_orderkey FROM customer JOIN orders ON orders.o_custkey = customer.c_custkey WHERE orders.o_orderstatus = 'P'", "SELECT c_name, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'P'", {"customer": "c_custkey", "orders": "o_orderkey"})
+_dialect("dialect_group", "SELECT p_brand, COUNT(*), MIN(p_size), MAX(p_size) FROM part GROUP BY p_brand ORDER BY p_brand", 'SELECT p_brand, count(*) AS "COUNT(*)", min(p_size) AS "MIN(p_size)", max(p_size) AS "MAX(p_size)" FROM part GROUP BY p_brand', {"part": "p_partkey"})
+_dialect("dialect_match_score", f"SELECT doc_id, SCORE() AS score FROM documents WHERE MATCH(text, '{TERMS}') ORDER BY score DESC, doc_id LIMIT 20", ORACLES["bm25_topk"], {"documents": "doc_id"})
+_dialect("dialect_tfidf", f"SELECT doc_id, SCORE() AS score FROM documents WHERE MATCH(text, '{SPANISH_QUERY}') USING TF_IDF ORDER BY score DESC LIMIT 20", ORACLES["tfidf_cosine_topk"], {"documents": "doc_id"})
+_dialect("dialect_radius", f"SELECT c_custkey FROM places WHERE DISTANCIA(spot, POINT({CENTER[0]}, {CENTER[1]})) <= {RADIUS_M}", f"SELECT c_custkey FROM ({_POINTS}) WHERE {_TO_CENTER} <= {RADIUS_M}", {"places": "c_custkey"})
+_dialect("dialect_nearest", f"SELECT c_custkey FROM places ORDER BY DISTANCIA(spot, POINT({CENTER[0]}, {CENTER[1]})), c_custkey LIMIT 12", f"SELECT c_custkey FROM ({_POINTS}) ORDER BY {_TO_CENTER}, c_custkey LIMIT 12", {"places": "c_custkey"})
+_dialect("dialect_within", f"SELECT c_custkey FROM places WHERE DENTRO_DE(spot, POLYGON({', '.join(f'POINT({x}, {y})' for x, y in RING)}))", f"SELECT c_custkey FROM ({_POINTS}) WHERE {_ring_sql()}", {"places": "c_custkey"})
+
+
+@query(ORACLES["bm25_topk"])
+def text_index_bm25(t):
+    docs = t("documents")
+    index = search.TextIndex.build(docs, "doc_id", "text", folder(docs.sparkSession, "text-index"))
+    return search.top_k(index.search(TERMS), "doc", 20).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(ORACLES["tfidf_cosine_topk"])
+def text_index_tfidf(t):
+    docs = t("documents")
+    index = search.TextIndex.build(docs, "doc_id", "text", folder(docs.sparkSession, "text-index"))
+    return search.top_k(index.search(SPANISH_QUERY, "tf_idf"), "doc", 20).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(ORACLES["radius_haversine"])
+def grid_index_radius(t):
+    pts = _points(t)
+    grid = spatial.GridIndex.build(pts, "lon", "lat", folder(pts.sparkSession, "grid"))
+    return grid.radius(CENTER, RADIUS_M).select("c_custkey", F.round("distance", 3).alias("distance"))
+
+
+@query()
+def ivf_search(t):
+    e = t("embeddings")
+    index = knn.IvfIndex.build(e, "embedding", folder(e.sparkSession, "ivf"))
+    return index.search(_target(t), 10, key="vec_id").select("vec_id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT p_partkey::INT AS p_partkey, p_brand, p_size, p_retailprice FROM part")
+def csv_infer(t):
+    part = t("part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    path = folder(part.sparkSession, "csv")
+    part.coalesce(1).write.csv(path, header=True)
+    return csv_source.load(part.sparkSession, path).rows
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search joined with labels: scan, tokens, corpus statistics, broadcast row, score, join, top k."""
     return QUERIES["search_join_labels"](spark, sf_dir)

@@ -151,9 +151,9 @@ def load(spark: SparkSession, path: str, types: Mapping[str, str] | None = None,
     extra = "_beyond"
     text = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))] + [T.StructField(extra, T.StringType()), T.StructField("_corrupt", T.StringType())])
     raw = spark.read.schema(text).csv(path, header=True, enforceSchema=True, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", nullValue="", emptyValue="")
-    # a full row has one cell fewer than the schema: Spark marks every other number of cells as corrupt
+    # a whole row has one cell fewer than this schema, which Spark marks; one that it does not mark has a cell too many
     line = F.coalesce("_corrupt", F.concat_ws(",", *[F.coalesce(F.col(f"_c{i}"), F.lit("")) for i in range(len(names))]))
-    short = F.col("_corrupt").isNotNull() & (F.size(F.split(F.regexp_replace("_corrupt", r'"([^"]|"")*"', "q"), ",", -1)) != len(names))
+    short = F.col("_corrupt").isNull() | (F.size(F.split(F.regexp_replace("_corrupt", r'"([^"]|"")*"', "q"), ",", -1)) != len(names))
     marked = raw.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)], line.alias("_line"), short.alias("_ragged"))
     good = marked.where(~F.coalesce("_ragged", F.lit(False)))
     chosen: dict[str, tuple[str, int | None]] = {}

@@ -10,6 +10,14 @@ from tessera.errors import LoadError
 GLOBS = {"image": "*.{jpg,jpeg,png,JPG,JPEG,PNG}", "audio": "*.{wav,mp3,WAV,MP3}", "text": "*.{txt,TXT}"}
 
 
+def _empty(spark: SparkSession, folder: str, kind: str) -> list[str]:
+    """Names of the folder's empty files, which a scan passes over."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    ends = tuple(f".{x.lower()}" for x in GLOBS[kind][3:-1].split(","))
+    return sorted(f.getPath().getName() for f in files if f.isFile() and not f.getLen() and f.getPath().getName().lower().endswith(ends))
+
+
 def load(spark: SparkSession, folder: str, kind: str) -> tuple[DataFrame, DataFrame]:
     """(rows, skipped). Images and audio: id, nombre, ruta; text: id, titulo, contenido. Empty files are skipped.
 
@@ -20,11 +28,11 @@ def load(spark: SparkSession, folder: str, kind: str) -> tuple[DataFrame, DataFr
         raise LoadError(f"unknown kind {kind}")
     files = spark.read.format("binaryFile").option("pathGlobFilter", GLOBS[kind]).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    listed = files.select("path", "length", name.alias("name"))
-    order = listed.where("length > 0").select("path", F.row_number().over(Window.orderBy("name", "path")).alias("id"))
-    skipped = listed.where("length = 0").select("name", F.lit("empty").alias("reason"))
+    listed = files.select("path", name.alias("name"))
+    order = listed.select("path", F.row_number().over(Window.orderBy("name", "path")).alias("id"))
+    skipped = spark.createDataFrame([(n, "empty") for n in _empty(spark, folder, kind)], "name string, reason string")
     if kind != "text":
-        rows = order.join(listed, "path").select(F.col("id").cast("int").alias("id"), F.col("name").alias("nombre"), F.col("path").alias("ruta"))
+        rows = order.select(F.col("id").cast("int").alias("id"), F.element_at(F.split("path", "/"), -1).alias("nombre"), F.col("path").alias("ruta"))
         return rows, skipped
     # UTF-8 that is valid comes back as the same bytes
     utf8 = F.try_validate_utf8(F.col("content").cast("string"))
