@@ -31,12 +31,18 @@ from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import give_back
+
 #: Bytes of a string, of a gram, and the starts of grams in a string. A window of 31 is the minimum over two of 16.
 SPAN, GRAM = 50, 20
 STARTS = SPAN - GRAM + 1
 SIDE = SPAN - GRAM
 #: Bytes of documents handled together, and bits of a place among them.
-CHUNK, PLACE_BITS = 1 << 21, 22
+CHUNK, PLACE_BITS = 1 << 19, 22
+#: Bytes of text, about, whose samples a task holds at a time.
+STRETCH = 1 << 23
+#: Bytes of text whose samples meet in one task.
+SHARD_BYTES = 1 << 24
 BASE = 0x100000001B3 * 2 + 1
 LOW = (1 << 40) - 1
 
@@ -135,18 +141,31 @@ def _unpack(blob: bytes, n: int, *types) -> list[np.ndarray]:
     return out
 
 
-def _sampled(docs: list[tuple[int | None, str | None]]):
-    """For each chunk with ids: (first, ids, data, starts, sizes, places, hashes, documents of the places)."""
+def _sampled(docs: Iterable[tuple[int | None, str | None]]) -> Iterator[tuple]:
+    """For each chunk: (first, ids, data, starts, sizes, places, hashes, documents of the places)."""
     for first, ids, data, starts, sizes in _chunks(docs):
         known = np.array([i is not None for i in ids])
         places, hashes = samples(data, starts, np.where(known, sizes, 0))
         yield first, ids, data, starts, sizes, places, hashes, np.searchsorted(starts, places, side="right") - 1
 
 
-def _gathered(docs: list[tuple[int | None, str | None]]) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct hashes in order, whether documents of several ids have them) of a partition."""
+def _stretches(docs: Iterable[tuple[int | None, str | None]]) -> Iterator[list[tuple]]:
+    """The sampled chunks of a partition, STRETCH bytes at a time: the same ones each time that it is read."""
+    held, size = [], 0
+    for chunk in _sampled(docs):
+        held.append(chunk)
+        size += len(chunk[2])
+        if size >= STRETCH:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _gathered(chunks: Iterable[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes in order, whether documents of several ids have them) of a partition's sampled chunks."""
     hashes, owners = [], []
-    for _, ids, _, _, _, _, h, doc in _sampled(docs):
+    for _, ids, _, _, _, _, h, doc in chunks:
         if len(h):
             hashes.append(h)
             owners.append(np.array([i or 0 for i in ids], np.int64)[doc])
@@ -159,6 +178,13 @@ def _gathered(docs: list[tuple[int | None, str | None]]) -> tuple[np.ndarray, np
     return h[first], np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
 
 
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``h`` are among the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(h), bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
 def _by_shard(h: np.ndarray, shards: int) -> tuple[np.ndarray, list[int]]:
     """The order of ``h`` by shard, and the cuts between shards."""
     shard = ((h >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
@@ -168,7 +194,7 @@ def _by_shard(h: np.ndarray, shards: int) -> tuple[np.ndarray, list[int]]:
 
 def _names(old: np.ndarray, more: np.ndarray) -> np.ndarray:
     """Names of pairs of a name and a further symbol, by sorting them."""
-    return np.unique(old * 512 + more, return_inverse=True)[1]
+    return np.unique(old.astype(np.int64) * 512 + more, return_inverse=True)[1].astype(np.int32)
 
 
 def repeated_starts(around: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -177,7 +203,7 @@ def repeated_starts(around: np.ndarray, left: np.ndarray, right: np.ndarray, ids
     ``around`` holds SIDE bytes, the gram, and SIDE bytes; ``left`` and ``right`` say how many of the sides are the document's.
     """
     n = len(ids)
-    gram = np.unique(np.ascontiguousarray(around[:, SIDE : SIDE + GRAM]).view(f"V{GRAM}").ravel(), return_inverse=True)[1]
+    gram = np.unique(np.ascontiguousarray(around[:, SIDE : SIDE + GRAM]).view(f"V{GRAM}").ravel(), return_inverse=True)[1].astype(np.int32)
     before, after = [gram], [gram]
     for x in range(SIDE):
         # beyond the document's bytes stands a symbol of its own
@@ -188,7 +214,7 @@ def repeated_starts(around: np.ndarray, left: np.ndarray, right: np.ndarray, ids
         fits = np.flatnonzero((x <= left) & (SIDE - x <= right))
         if len(fits) < 2:
             continue
-        pair = before[x][fits] * (n + 1) + after[SIDE - x][fits]
+        pair = before[x][fits].astype(np.int64) * (n + 1) + after[SIDE - x][fits]
         order = np.argsort(pair, kind="stable")
         run = pair[order]
         first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
@@ -197,11 +223,66 @@ def repeated_starts(around: np.ndarray, left: np.ndarray, right: np.ndarray, ids
     return masks
 
 
+def _samples_of(index: int, chunks: list[tuple], flags: list[tuple[int, bytes]], shards: int) -> Iterator:
+    """What a stretch sends: its samples that other documents may have, to their shards; repeats within it, to be passed on."""
+    h, _ = _gathered(chunks)
+    order, cuts = _by_shard(h, shards)
+    keep = np.zeros(len(h), bool)
+    for q, raw in flags:
+        pick = order[cuts[q] : cuts[q + 1]]
+        keep[pick] = np.unpackbits(np.frombuffer(raw, np.uint8), count=len(pick)).astype(bool)
+    shared = h[keep]
+    parts = []
+    for first, ids, data, starts, sizes, places, hashes, doc in chunks:
+        some = _among(hashes, shared)
+        places, doc, hashes = places[some], doc[some], hashes[some]
+        if not len(places):
+            continue
+        left = np.minimum(SIDE, places - starts[doc])
+        right = np.minimum(SIDE, starts[doc] + sizes[doc] - places - GRAM)
+        padded = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(SIDE, np.uint8)])
+        around = np.lib.stride_tricks.sliding_window_view(padded, 2 * SIDE + GRAM)[places]
+        at = np.arange(2 * SIDE + GRAM)
+        around[(at < SIDE - left[:, None]) | (at >= SIDE + GRAM + right[:, None])] = 0
+        row = np.concatenate([around, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], axis=1)
+        parts.append((row, np.array([i or 0 for i in ids], np.int64)[doc], (first + doc).astype(np.uint32), (places - starts[doc]).astype(np.uint32), hashes))
+    chunks.clear()
+    if not parts:
+        return
+    row, ids, doc, place, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    # of equal surroundings the least id is sent; the others are repeats of it
+    _, group = np.unique(np.ascontiguousarray(row).view(f"V{row.shape[1]}").ravel(), return_inverse=True)
+    least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, ids)
+    repeat = ids > least[group]
+    if repeat.any():
+        left, right = row[repeat, -2].astype(int), row[repeat, -1].astype(int)
+        masks = np.zeros(int(repeat.sum()), np.uint32)
+        for x in range(SIDE + 1):
+            masks |= np.where((x <= left) & (SIDE - x <= right), np.uint32(1 << x), np.uint32(0))
+        yield index % shards, (index, None, len(masks), _pack(doc[repeat], place[repeat], masks))
+    once = np.flatnonzero(~repeat)
+    order, cuts = _by_shard(hashes[once], shards)
+    for q in range(shards):
+        pick = once[order[cuts[q] : cuts[q + 1]]]
+        if len(pick):
+            # like next to like, for the compressor
+            pick = pick[np.argsort(hashes[pick], kind="stable")]
+            yield q, (index, 1, len(pick), _pack(row[pick], ids[pick], doc[pick], place[pick]))
+
+
+def _whole(it: Iterable) -> Iterator[list]:
+    held = [list(it)]
+    yield held.pop()
+    give_back()
+
+
 def _zipped(docs: RDD, back: RDD) -> RDD:
     """One (documents, what went back to them) for each partition of the documents."""
-    mine = docs.mapPartitions(lambda it: [list(it)])
+    mine = docs.mapPartitions(_whole)
     if extra := back.getNumPartitions() - docs.getNumPartitions():
-        mine = mine.union(docs.context.parallelize([], extra).mapPartitions(lambda it: [list(it)]))
+        mine = mine.union(docs.context.parallelize([], extra).mapPartitions(_whole))
     return mine.zip(back.mapPartitions(lambda it: [[v for _, v in it]]))
 
 
@@ -214,77 +295,47 @@ def remove_repeats(table: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = table.sparkSession
     docs = table.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")).rdd.map(tuple)
     own = docs.getNumPartitions()
-    shards = max(own, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = table.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+    shards = max(-(-size // SHARD_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def send_hashes(part: int, it: Iterable) -> Iterator:
-        h, several = _gathered(list(it))
-        order, cuts = _by_shard(h, shards)
-        for q in range(shards):
-            if pick := order[cuts[q] : cuts[q + 1]].tolist():
-                low = (h[pick] & np.uint64(LOW)).view(np.uint8).reshape(-1, 8)[:, :5]
-                yield q, (part, len(pick), zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(low.T).tobytes() + np.packbits(several[pick]).tobytes()))
+        for nth, chunks in enumerate(_stretches(it)):
+            h, several = _gathered(chunks)
+            chunks.clear()
+            order, cuts = _by_shard(h, shards)
+            for q in range(shards):
+                if pick := order[cuts[q] : cuts[q + 1]].tolist():
+                    low = (h[pick] & np.uint64(LOW)).view(np.uint8).reshape(-1, 8)[:, :5]
+                    yield q, (part, nth, len(pick), zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(low.T).tobytes() + np.packbits(several[pick]).tobytes()))
+        give_back()
 
     def shared_hashes(q: int, it: Iterable) -> Iterator:
         got = []
-        for _, (part, n, blob) in it:
+        for _, (part, nth, n, blob) in it:
             raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
             low = np.zeros((n, 8), np.uint8)
             low[:, :5] = raw[: 5 * n].reshape(5, n).T
-            got.append((part, low.view(np.uint64).ravel(), np.unpackbits(raw[5 * n :], count=n).astype(bool)))
+            got.append(((part, nth), low.view(np.uint64).ravel(), np.unpackbits(raw[5 * n :], count=n).astype(bool)))
         if not got:
             return
         every = np.sort(np.concatenate([h for _, h, _ in got]))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
         flagged = np.unique(np.concatenate([h[s] for _, h, s in got]))
         keep = np.union1d(twice, flagged)
-        for part, h, _ in got:
-            yield part, (q, np.packbits(np.isin(h, keep)).tobytes())
+        for (part, nth), h, _ in got:
+            yield part, (nth, q, np.packbits(_among(h, keep)).tobytes())
+        del got, every, twice, flagged, keep
+        give_back()
 
     def send_samples(index: int, it: Iterable) -> Iterator:
         for mine, flags in it:
-            h, _ = _gathered(mine)
-            order, cuts = _by_shard(h, shards)
-            keep = np.zeros(len(h), bool)
-            for q, bits in flags:
-                pick = order[cuts[q] : cuts[q + 1]]
-                keep[pick] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(pick)).astype(bool)
-            shared = h[keep]
-            parts = []
-            for first, ids, data, starts, sizes, places, hashes, doc in _sampled(mine):
-                at = np.minimum(np.searchsorted(shared, hashes), max(0, len(shared) - 1))
-                some = shared[at] == hashes if len(shared) else np.zeros(len(hashes), bool)
-                places, doc, hashes = places[some], doc[some], hashes[some]
-                if not len(places):
-                    continue
-                left = np.minimum(SIDE, places - starts[doc])
-                right = np.minimum(SIDE, starts[doc] + sizes[doc] - places - GRAM)
-                padded = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(SIDE, np.uint8)])
-                around = np.lib.stride_tricks.sliding_window_view(padded, 2 * SIDE + GRAM)[places]
-                around = np.where((np.arange(2 * SIDE + GRAM) >= SIDE - left[:, None]) & (np.arange(2 * SIDE + GRAM) < SIDE + GRAM + right[:, None]), around, 0).astype(np.uint8)
-                row = np.concatenate([around, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], axis=1)
-                parts.append((row, np.array([i or 0 for i in ids], np.int64)[doc], (first + doc).astype(np.uint32), (places - starts[doc]).astype(np.uint32), hashes))
-            if not parts:
-                continue
-            row, ids, doc, place, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
-            # of equal surroundings the least id is sent; the others are repeats of it
-            _, group = np.unique(np.ascontiguousarray(row).view(f"V{row.shape[1]}").ravel(), return_inverse=True)
-            least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, group, ids)
-            repeat = ids > least[group]
-            if repeat.any():
-                left, right = row[repeat, -2].astype(int), row[repeat, -1].astype(int)
-                masks = np.zeros(int(repeat.sum()), np.uint32)
-                for x in range(SIDE + 1):
-                    masks |= np.where((x <= left) & (SIDE - x <= right), np.uint32(1 << x), np.uint32(0))
-                yield index % shards, (index, None, len(masks), _pack(doc[repeat], place[repeat], masks))
-            once = np.flatnonzero(~repeat)
-            order, cuts = _by_shard(hashes[once], shards)
-            for q in range(shards):
-                pick = once[order[cuts[q] : cuts[q + 1]]]
-                if len(pick):
-                    # like next to like, for the compressor
-                    pick = pick[np.argsort(hashes[pick], kind="stable")]
-                    yield q, (index, 1, len(pick), _pack(row[pick], ids[pick], doc[pick], place[pick]))
+            bits: dict[int, list] = {}
+            for nth, q, raw in flags:
+                bits.setdefault(nth, []).append((q, raw))
+            for nth, chunks in enumerate(_stretches(mine)):
+                yield from _samples_of(index, chunks, bits.pop(nth, []), shards)
+            mine.clear()
+        give_back()
 
     def find(it: Iterable) -> Iterator:
         got = []
@@ -303,6 +354,8 @@ def remove_repeats(table: DataFrame, doc_id: str = "doc_id", text: str = "text",
             at += len(own_ids)
             if some := np.flatnonzero(m).tolist():
                 yield part, (len(some), _pack(doc[some], place[some], m[some]))
+        del got, row, ids, masks
+        give_back()
 
     def drop(it: Iterable) -> Iterator:
         for mine, blobs in it:
@@ -323,6 +376,8 @@ def remove_repeats(table: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     kept = data[a : a + n][~gone].tobytes()
                     spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(n and gone[0])
                     yield (i, n, n - len(kept), spans, hashlib.sha256(kept).hexdigest(), *([bytearray(kept)] if kept_text else []))
+            mine.clear()
+        give_back()
 
     flags = docs.mapPartitionsWithIndex(send_hashes).partitionBy(shards, _itself).mapPartitionsWithIndex(shared_hashes).partitionBy(own, _itself)
     starts = _zipped(docs, flags).mapPartitionsWithIndex(send_samples).partitionBy(shards, _itself).mapPartitions(find).partitionBy(own, _itself)
