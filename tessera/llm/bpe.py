@@ -12,19 +12,21 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from itertools import chain
+from array import array
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.llm.common import per_batch
+from tessera.llm.common import per_text
 
-#: Words kept encoded between batches, in each of two generations: when the young one is full, it replaces the old one.
-CACHE_WORDS = 500_000
-#: Longest word that is cached; longer ones are encoded anew each time.
-CACHE_LENGTH = 64
+#: Words kept encoded between batches; the cache starts anew when it holds more.
+CACHE_WORDS = 400_000
+#: A batch with a longer word than this starts the cache anew, which bounds its bytes.
+CACHE_LENGTH = 10_000
 #: Larger than any id: a pair of ids is one key. Symbols between words, and of positions that were merged away.
 KEY, END, GONE = 1 << 20, -1, -2
 
@@ -65,14 +67,13 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts batch by batch; keeps the words it has met, in two generations."""
+    """Encodes texts batch by batch; keeps the words it has met, up to CACHE_WORDS."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.words = regex.compile(PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.forget()
         self.byte_ids = np.array(vocabulary.byte_ids, np.int64)
         keys = np.array([a * KEY + b for a, b in vocabulary.rank], np.int64)
         order = np.argsort(keys)
@@ -154,27 +155,25 @@ class Encoder:
         stops = np.cumsum(kept)[ends].tolist()
         return [tuple(ids[a:b]) for a, b in zip([0, *stops], stops, strict=False)]
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """The ids of each text."""
-        split = [self.split(t or "") for t in texts]
-        met = set().union(*split)
-        if len(self.young) + len(met) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        fresh = []
-        for w in met.difference(young):
-            if (found := old.get(w)) is not None:
-                young[w] = found
-            elif w in self.v.special:
-                young[w] = (self.v.special[w],)
-            else:
-                fresh.append(w)
-        young.update(zip(fresh, self.merge(fresh), strict=True))
-        out = [list(chain.from_iterable(map(young.__getitem__, ws))) for ws in split]
-        for w in fresh:
-            if len(w) > CACHE_LENGTH:
-                del young[w]
-        return out
+    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
+        """The ids of each text. Between the texts' splitting and their encoding, a word is a number."""
+        if len(self.table) > CACHE_WORDS:
+            self.forget()
+        number, known = self.number, len(self.table)
+        numbered = [array("i", [number[w] for w in self.split(t or "")]) for t in texts]
+        fresh = list(islice(number, known, None))
+        special = self.v.special
+        merged = dict(zip(plain := [w for w in fresh if w not in special], self.merge(plain), strict=True))
+        self.table += [merged[w] if w in merged else (special[w],) for w in fresh]
+        find = self.table.__getitem__
+        for words in numbered:
+            yield list(chain.from_iterable(map(find, words)))
+        if any(len(w) > CACHE_LENGTH for w in fresh):
+            self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.table: list[tuple[int, ...]] = []
 
 
 def decode(vocabulary: Vocabulary, ids: list[int]) -> str:
@@ -187,15 +186,12 @@ def encode_table(docs: DataFrame, vocabulary_path: str, text: str = "text", keep
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(Vocabulary.load(vocabulary_path))
     own: dict = {}
-    types = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]
 
     def run(cols: list[list]) -> list[list]:
         encoder = own.get("encoder") or own.setdefault("encoder", Encoder(shared.value))
         spell = own.get("spell") or own.setdefault("spell", {i: str(i) for i in encoder.v.bytes_of})
-        ids = encoder.encode(cols[-1])
-        marks = [hashlib.sha256(",".join(map(spell.__getitem__, x)).encode()).hexdigest() for x in ids]
-        back = [hashlib.sha256(decode(encoder.v, x).encode()).hexdigest() for x in ids]
-        return [*cols[:-1], [len(x) for x in ids], *([ids] if with_ids else []), marks, back]
+        rows = [(len(ids), *([array("i", ids)] if with_ids else []), hashlib.sha256(",".join(map(spell.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decode(encoder.v, ids).encode()).hexdigest()) for ids in encoder.encode(cols[-1])]
+        return [*cols[:-1], *map(list, zip(*rows, strict=True))]
 
-    schema = ", ".join([*types, "n_tokens bigint", *(["ids array<int>"] if with_ids else []), "ids_sha256 string", "decoded_sha256 string"])
-    return per_batch(docs.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").cast("string")), run, schema)
+    more = ["n_tokens bigint", *(["ids array<int>"] if with_ids else []), "ids_sha256 string", "decoded_sha256 string"]
+    return per_text(docs, keep, text, run, ", ".join(more), own)

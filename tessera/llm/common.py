@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,17 +14,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows that Python handles at a time; bounds a worker's memory whatever Arrow's batch size is.
-SLICE_ROWS = 2000
+#: Rows that Python handles at a time, and that cross from the JVM in one Arrow batch.
+SLICE_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+_temporary: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or one temporary folder where it is unset (tests)."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not _temporary:
+        _temporary.append(tempfile.mkdtemp(prefix="tessera-"))
+    return _temporary[0]
 
 
 class Scratch:
@@ -45,20 +51,52 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def per_batch(df: DataFrame, fn: Callable[[list[list]], list[list]], schema: str | T.StructType) -> DataFrame:
-    """fn gets the columns of at most SLICE_ROWS rows as lists, and returns the columns of ``schema`` as lists."""
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to SLICE_ROWS: texts are long, and both sides hold whole batches outside the heap."""
+    if not 0 < int(spark.conf.get(BATCH_SETTING, "10000")) <= SLICE_ROWS:
+        spark.conf.set(BATCH_SETTING, str(SLICE_ROWS))
+
+
+def per_batch(df: DataFrame, fn: Callable[[list[list]], list[list]], schema: str | T.StructType, own: dict | None = None, order: list[int] | None = None) -> DataFrame:
+    """fn gets the columns of at most SLICE_ROWS rows as lists (in ``order``, if given), and returns those of ``schema``.
+
+    ``own`` is what fn keeps between batches; it is let go when a task ends, as a worker goes on to other tasks.
+    """
     struct = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(struct)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                got = fn([c.to_pylist() for c in part.columns])
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(got, arrow, strict=True)], schema=arrow)
-
-    # by place: a column may be asked for twice
-    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).mapInArrow(run, struct)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE_ROWS):
+                    cols = [c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns]
+                    got = fn([cols[i] for i in order] if order else cols)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(got, arrow, strict=True)], schema=arrow)
+        finally:
+            if own is not None:
+                own.clear()
+            give_back()
+
+    return df.mapInArrow(run, struct)
+
+
+def per_text(docs: DataFrame, keep: tuple[str, ...], text: str, fn: Callable[[list[list]], list[list]], more: str, own: dict | None = None) -> DataFrame:
+    """Like per_batch: fn gets the columns ``keep`` and the text, and returns ``keep`` and the columns ``more``."""
+    names = list(dict.fromkeys([*keep, text]))
+    df = docs.select(*[F.col(f"`{n}`") if n in keep else F.col(f"`{n}`").cast("string").alias(n) for n in names])
+    kept = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
+    return per_batch(df, fn, f"{kept}, {more}" if keep else more, own, [names.index(n) for n in (*keep, text)])
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; workers outlive their tasks, and several share an executor's limit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:

@@ -19,9 +19,8 @@ from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tessera.llm.common import per_batch
+from tessera.llm.common import per_text
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|math|object|canvas|select|head|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -214,5 +213,4 @@ def extract_table(pages: DataFrame, html: str = "html", keep: tuple[str, ...] =
         texts = [extract(h, fitted) for h in cols[-1]]
         return [*cols[:-1], texts, [len(t) for t in texts]]
 
-    types = [f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keep]
-    return per_batch(pages.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{html}`").cast("string")), run, ", ".join([*types, "text string", "n_chars bigint"]))
+    return per_text(pages, keep, html, run, "text string, n_chars bigint")

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import per_batch
+from tessera.llm.common import per_text
 
 PER_LABEL, TRAIN_CHARS = 400, 4000
 UNKNOWN = "und"
@@ -242,5 +242,4 @@ def predict_table(docs: DataFrame, field: Field, text: str = "text", keep: tuple
         labeller = own.get("l") or own.setdefault("l", Labeller(shared.value))
         return [*cols[:-1], *labeller.predict(cols[-1])]
 
-    types = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]
-    return per_batch(docs.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").cast("string")), run, ", ".join([*types, "lang_pred string", "score double"]))
+    return per_text(docs, keep, text, run, "lang_pred string, score double", own)

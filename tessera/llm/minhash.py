@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.llm.common import Scratch, per_batch
+from tessera.llm.common import Scratch, per_batch, small_batches
 from tessera.llm.simhash import shingle_hashes
 
 SHINGLE, SLOTS, SEED = 5, 128, 20240607
@@ -133,6 +133,7 @@ def against_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
                     out = []
 
+    small_batches(docs.sparkSession)
     rows = _neighbours(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
     return rows.repartition("range").sortWithinPartitions("range", "lead", F.col("doc_id").desc_nulls_last(), F.col("text").desc()).mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, per_batch
+from tessera.llm.common import Scratch, per_text
 
 PER_DOMAIN, TRAIN_CHARS = 1000, 8000
 #: Rounds, rate and penalty of the classifier's fit.
@@ -36,11 +36,11 @@ LEAST_ROWS = 20
 ROUNDS, TOLERANCE = 40, 1e-4
 
 
-def _shape(text: str, words: list[str], distinct: int) -> list[float]:
-    """What the words themselves don't show: length, repetition, capitals and symbols."""
+def _shape(text: str, distinct: int) -> list[float]:
+    """What the known words don't show: length, repetition, capitals and the size of words."""
+    words = text.split()
     n = max(1, len(words))
-    letters = sum(map(str.isalpha, text[:2000])) / max(1, min(2000, len(text)))
-    return [1.0, math.log1p(len(words)) / 10, distinct / n, sum(map(str.isupper, words[:300])) / min(n, 300), letters]
+    return [1.0, math.log1p(len(words)) / 10, distinct / n, sum(map(str.isupper, words)) / n, min(20.0, len(text) / n) / 10]
 
 
 class Classifier:
@@ -77,16 +77,15 @@ class Classifier:
                 p -= FIT_RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-9)
 
     def _describe(self, texts: list[str]):
-        """Known distinct words of each text (the last id, of no weight, closes each), starts, shapes and scales."""
+        """Known distinct words of each text (in order, so that equal texts add up equally; the last id stands for the text itself), starts, shapes and scales."""
         get, last = self.ids.get, len(self.ids)
         found, dense, self.counts = [], [], []
         for t in texts:
             words = t.lower().split()
             distinct = set(words)
             self.counts.append(len(words))
-            found.append([*(i for w in distinct if (i := get(w)) is not None), last])
-            dense.append(_shape(t, t.split(None, 300)[:300], min(300, len(distinct))))
-            dense[-1][1:3] = [math.log1p(len(words)) / 10, len(distinct) / max(1, len(words))]
+            found.append([*sorted(i for w in distinct if (i := get(w)) is not None), last])
+            dense.append(_shape(t, len(distinct)))
         sizes = np.array([len(f) for f in found])
         starts = np.cumsum(sizes) - sizes
         return np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), starts, np.array(dense).reshape(-1, 5), 1 / np.sqrt(sizes)
@@ -120,8 +119,7 @@ def train(docs: DataFrame, labelled: DataFrame, domain: Column, per_domain: int
 def posteriors(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep``, then n_tokens and posterior (array, by the model's domains) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    types = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]
-    return per_batch(docs.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").cast("string")), lambda c: [*c[:-1], *shared.value.predict(c[-1])], ", ".join([*types, "n_tokens bigint", "posterior array<double>"]))
+    return per_text(docs, keep, text, lambda c: [*c[:-1], *shared.value.predict(c[-1])], "n_tokens bigint, posterior array<double>")
 
 
 def _rate(steps: list[np.ndarray], p: str = "posterior") -> Column:

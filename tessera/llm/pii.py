@@ -20,9 +20,8 @@ from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tessera.llm.common import per_batch
+from tessera.llm.common import per_text
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -262,6 +261,5 @@ def scan_table(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
         marks = [hashlib.sha256(spell(base).encode()).hexdigest() for base, _ in found]
         return [*cols[:-1], *counts, marks, [spell(every) for _, every in found], *([[redact(t, every) for t, (_, every) in zip(cols[-1], found, strict=True)]] if redacted else [])]
 
-    types = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]
-    schema = ", ".join([*types, *(f"n_{k} bigint" for k in KINDS), "base_sha256 string", "spans string", *(["redacted string"] if redacted else [])])
-    return per_batch(docs.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").cast("string")), run, schema)
+    more = [*(f"n_{k} bigint" for k in KINDS), "base_sha256 string", "spans string", *(["redacted string"] if redacted else [])]
+    return per_text(docs, keep, text, run, ", ".join(more))
