@@ -296,7 +296,7 @@ def remove_repeats(table: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = table.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")).rdd.map(tuple)
     own = docs.getNumPartitions()
     size = table.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
-    shards = max(-(-size // SHARD_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(-(-size // SHARD_BYTES), own)
 
     def send_hashes(part: int, it: Iterable) -> Iterator:
         for nth, chunks in enumerate(_stretches(it)):
