@@ -8,10 +8,12 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_temporary: list[str] = []
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder's path under spark.checkpoint.dir, or under a temporary one where that is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not root and not _temporary:
+        _temporary.append(tempfile.mkdtemp(prefix="tessera-"))
+    return f"{(root or _temporary[0]).rstrip('/')}/{name}-{uuid.uuid4().hex}"
