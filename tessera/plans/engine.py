@@ -236,9 +236,13 @@ class Engine:
             v = vx.from_bytes(raw) if t.schema.column(x["column"]).type == "BYTEA" else vx.from_json(raw)
             held = t.rows.withColumn("_v", v).where(vx.usable(F.col("_v")))
             n = held.count()
-            if n:
+            if x["kind"] == "IVF" and n > 1:
+                IvfIndex.build(held, "_v", path, lists=min(16, n))
+            elif x["kind"] == "HNSW" and n:
                 # an exact scan serves HNSW: its table holds the decoded vectors
-                IvfIndex.build(held, "_v", path, lists=min(16, n) if x["kind"] == "IVF" and n > 1 else 2) if n > 1 and x["kind"] == "IVF" else held.write.parquet(path)
+                held.write.parquet(path)
+            else:
+                x["path"] = ""  # too few vectors for cells
         else:
             t.rows.repartitionByRange(F.col(c)).sortWithinPartitions(c).write.parquet(path)
 
