@@ -657,7 +657,7 @@ def text_index_tfidf(t):
 @query(ORACLES["radius_haversine"])
 def grid_index_radius(t):
     pts = _points(t)
-    grid = spatial.GridIndex.build(pts, "lon", "lat", folder(pts.sparkSession, "grid"))
+    grid = spatial.GridIndex.build(pts, "lon", "lat", folder(pts.sparkSession, "grid"), 30.0)
     return grid.radius(CENTER, RADIUS_M).select("c_custkey", F.round("distance", 3).alias("distance"))
 
 
