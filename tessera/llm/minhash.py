@@ -1,10 +1,10 @@
 """Document fingerprints by MinHash, and near-duplicate pairs from bands of their signatures.
 
 A text's shingles (five words by default, lower-cased A-Z, split at ASCII white space; fewer words: the whole sequence)
-are hashed once; each of SLOTS universal hash functions ``(a * x + b) mod 2**64 >> 32`` keeps its minimum, in
-vectorised numpy. The fingerprint holds 16 bits of each minimum, and the share of equal slots of two fingerprints
-estimates the Jaccard likeness of their shingle sets. Equal texts have equal fingerprints; two texts without
-words are equal and like each other fully.
+are hashed once; each of SLOTS universal hash functions ``(a * x + b) mod 2**64`` keeps its whole minimum, in
+vectorised numpy. The fingerprint holds 16 bits of a mixed hash of each minimum (a minimum's own high bits are 0 in
+long texts), and the share of equal slots of two fingerprints estimates the Jaccard likeness of their shingle sets.
+Equal texts have equal fingerprints; two texts without words are equal and like each other fully.
 
 ``near_pairs`` joins bands of signatures in Spark, among class representatives of equal shingle sets, and keeps the
 pairs whose true Jaccard likeness of shingle hashes reaches the threshold. Representatives that share a band with more
@@ -44,25 +44,32 @@ B = _rng.integers(0, 2**64, SLOTS, dtype=np.uint64)
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """The minimum of each hash function, 32 bits; of no hashes, the largest value everywhere."""
+    """The minimum of each hash function, 64 bits; of no hashes, the largest value everywhere."""
     low = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), CHUNK):
         np.minimum(low, (hashes[at : at + CHUNK, None] * A + B).min(axis=0), out=low)
-    return (low >> np.uint64(32)).astype(np.uint32)
+    return low
 
 
 def text_signature(text: str | None) -> np.ndarray:
     return signature(np.unique(shingle_hashes(text, SHINGLE, SEED)))
 
 
+def slots(sig: np.ndarray) -> np.ndarray:
+    """16 bits of each minimum, mixed from all of its 64 (the finalizer of splitmix64)."""
+    x = (sig ^ (sig >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x >> np.uint64(48)).astype(np.uint16)
+
+
 def spell(sig: np.ndarray) -> str:
     """The fingerprint: 16 bits of each slot, in hex."""
-    return (sig >> np.uint32(16)).astype(">u2").tobytes().hex()
+    return slots(sig).astype(">u2").tobytes().hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Share of equal slots of two fingerprints."""
-    return float(np.mean((a >> np.uint32(16)) == (b >> np.uint32(16))))
+    return float(np.mean(slots(a) == slots(b)))
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

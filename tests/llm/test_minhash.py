@@ -68,3 +68,12 @@ def test_near_pairs(spark, monkeypatch, hot):
     want = {(a, b) for a in reps for b in reps if a < b and jaccard(text[a], text[b]) >= 0.8}
     assert {(r.a, r.b) for r in pairs.collect()} == want
     assert [x.count() for x in minhash.near_pairs(df.limit(0))] == [0, 0]
+
+
+@pytest.mark.parametrize("n", [100_000, 300_000])
+def test_long_texts(n):
+    a, b = (" ".join(f"{p}{i}" for i in range(n)) for p in "ab")
+    x, y, half = (minhash.text_signature(t) for t in (a, b, f"{a} {b}"))
+    assert minhash.likeness(x, y) == 0.0
+    assert minhash.likeness(x, half) == pytest.approx(jaccard(a, f"{a} {b}"), abs=0.15)
+    assert len({minhash.spell(x)[i : i + 4] for i in range(0, 512, 4)}) > 100
