@@ -387,7 +387,7 @@ class Engine:
             raise
         return skipped
 
-    def vector_search(self, table: str, column: str, target: list[float], k: int, metric: str = "cosine", n_probe: int = 4) -> DataFrame:
+    def vector_search(self, table: str, column: str, target: list[float], k: int, metric: str = "cosine", n_probe: int | None = None) -> DataFrame:
         """The k nearest rows with distance and score, through the column's IVF index if it has one."""
         from tessera.operators import knn
 

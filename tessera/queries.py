@@ -668,6 +668,13 @@ def ivf_search(t):
     return index.search(_target(t), 10, key="vec_id").select("vec_id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
 
 
+@query(ORACLES["knn_join"].replace("n <= 5", "n <= 10"))
+def ivf_search_join(t):
+    e = t("embeddings")
+    index = knn.IvfIndex.build(e, "embedding", folder(e.sparkSession, "ivf"))
+    return index.search_join(e.where("vec_id % 50 = 0"), "vec_id", "vec_id", "embedding", 10).select("query", "neighbour", F.round("distance", 6).alias("distance"))
+
+
 @query("SELECT p_partkey::INT AS p_partkey, p_brand, p_size, p_retailprice FROM part")
 def csv_infer(t):
     part = t("part").select("p_partkey", "p_brand", "p_size", "p_retailprice")

@@ -111,6 +111,26 @@ def test_knn_join_and_ivf(spark, tmp_path):
     assert 999 in {r.id for r in index.search(x[0].tolist(), 2, key="id").collect()}
 
 
+def test_ivf_is_exact(spark, tmp_path, monkeypatch):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    index = knn.IvfIndex.build(e, "embedding", str(tmp_path / "ivf"))
+    rows = {r.vec_id: r.embedding for r in e.collect()}
+    ids = np.array(sorted(rows))
+    x = np.array([rows[i] for i in ids], float)
+    asked = [i for i in ids.tolist() if i % 50 == 0]
+    queries = e.where("vec_id % 50 = 0")
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 15 * 8 * x.shape[1])
+    for metric in ("cosine", "euclidean", "dot_product"):
+        d = vx.np_distance(np.array([rows[i] for i in asked], float), x, metric)
+        got = {}
+        for r in index.search_join(queries, "vec_id", "vec_id", "embedding", 10, metric).collect():
+            got.setdefault(r.query, set()).add(r.neighbour)
+        recall = [len(got[q] & set(ids[np.argsort(d[i], kind="stable")[:10]].tolist())) / 10 for i, q in enumerate(asked)]
+        assert np.mean(recall) >= 0.99
+        for q in asked[:2]:
+            assert {r.vec_id for r in index.search(rows[q], 10, metric, key="vec_id").collect()} == got[q]
+
+
 def test_zero_and_broken_vectors(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [1.0]), (5, None), (6, [2.0, 0.0])], "id int, v array<float>")
     assert [(r.id, r.distance) for r in knn.knn(df, "v", [1.0, 0.0], 9, key="id").collect()] == [(6, 0.0), (1, 1.0)]
