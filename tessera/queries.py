@@ -468,21 +468,46 @@ def _boxes(t) -> DataFrame:
     return _points(t).where("c_custkey % 7 = 0").groupBy("c_nationkey").agg(*sx.mbr("lon", "lat"))
 
 
-@query(f"SELECT c_nationkey, west, south, east, north, round((east - west) * (north - south), 4) AS area FROM ({_BOXES})")
-def mbr_by_nation(t):
+def _whole_boxes(t) -> DataFrame:
+    return _points(t).groupBy("c_nationkey").agg(*sx.mbr("lon", "lat"))
+
+
+def _areas(boxes: DataFrame) -> DataFrame:
     box = [F.col(c) for c in ("west", "south", "east", "north")]
-    return _boxes(t).withColumn("area", F.round(sx.box_area(box), 4))
+    return boxes.withColumn("area", F.round(sx.box_area(box), 4))
 
 
-@query(f"WITH b AS ({_BOXES}) SELECT a.c_nationkey AS a, b.c_nationkey AS b, a.west <= b.west AND a.south <= b.south AND a.east >= b.east AND a.north >= b.north AS holds FROM b a, b WHERE a.c_nationkey < b.c_nationkey AND a.west <= b.east AND b.west <= a.east AND a.south <= b.north AND b.south <= a.north")
-def mbr_intersects(t):
+def _meeting(boxes: DataFrame) -> DataFrame:
     names = ("west", "south", "east", "north")
-    a = _boxes(t).select(F.col("c_nationkey").alias("a"), *[F.col(c).alias(f"a_{c}") for c in names])
-    b = _boxes(t).select(F.col("c_nationkey").alias("b"), *[F.col(c).alias(f"b_{c}") for c in names])
+    a = boxes.select(F.col("c_nationkey").alias("a"), *[F.col(c).alias(f"a_{c}") for c in names])
+    b = boxes.select(F.col("c_nationkey").alias("b"), *[F.col(c).alias(f"b_{c}") for c in names])
     pa, pb = [F.col(f"a_{c}") for c in names], [F.col(f"b_{c}") for c in names]
     return a.join(b, (F.col("a") < F.col("b")) & sx.boxes_intersect(pa, pb)).select("a", "b", sx.box_contains(pa, pb).alias("holds"))
 
 
+@query(f"SELECT c_nationkey, west, south, east, north, round((east - west) * (north - south), 4) AS area FROM ({_BOXES})")
+def mbr_by_nation(t):
+    return _areas(_boxes(t))
+
+
+@query(f"WITH b AS ({_BOXES}) SELECT a.c_nationkey AS a, b.c_nationkey AS b, a.west <= b.west AND a.south <= b.south AND a.east >= b.east AND a.north >= b.north AS holds FROM b a, b WHERE a.c_nationkey < b.c_nationkey AND a.west <= b.east AND b.west <= a.east AND a.south <= b.north AND b.south <= a.north")
+def mbr_intersects(t):
+    return _meeting(_boxes(t))
+
+
+_WHOLE_BOXES = f"SELECT c_nationkey, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM ({_POINTS}) GROUP BY c_nationkey"
+
+
+@query(f"SELECT c_nationkey, west, south, east, north, round((east - west) * (north - south), 4) AS area FROM ({_WHOLE_BOXES})")
+def mbr_by_nation_whole(t):
+    return _areas(_whole_boxes(t))
+
+
+@query(f"WITH b AS ({_WHOLE_BOXES}) SELECT a.c_nationkey AS a, b.c_nationkey AS b, a.west <= b.west AND a.south <= b.south AND a.east >= b.east AND a.north >= b.north AS holds FROM b a, b WHERE a.c_nationkey < b.c_nationkey AND a.west <= b.east AND b.west <= a.east AND a.south <= b.north AND b.south <= a.north")
+def mbr_intersects_whole(t):
+    return _meeting(_whole_boxes(t))
+
+
 @query("WITH p AS (SELECT c_custkey, (c_custkey * 37 % 360) - 180 AS x, (c_custkey * 53 % 180) - 90 AS y FROM customer) SELECT c_custkey, round((x + x + 1 + x + 2) / 3, 6) AS lon, round((y + y + 3 + y + 1) / 3, 6) AS lat FROM p")
 def centroid_polygon(t):
     k = F.col("c_custkey")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import queries
 from tessera.apps import identity, segments
 from tessera.functions import spatial as sx
 from tessera.functions import text as tx
@@ -195,3 +196,10 @@ def test_stream(spark, tmp_path):
     batch = events.windowed(spark.read.parquet(str(tmp_path / "in")), F.window("ts", "6 hours"), "event_type")
     got, want = {tuple(r)[:4] for r in spark.read.parquet(str(tmp_path / "out")).collect()}, {tuple(r)[:4] for r in batch.collect()}
     assert got <= want and len(got) > 0.8 * len(want)
+
+
+def test_whole_boxes_hold_every_point(spark):
+    sf = "/root/testdata/sf0.01"
+    boxes = {r.c_nationkey: r for r in queries.QUERIES["mbr_by_nation_whole"](spark, sf).collect()}
+    points = queries._points(lambda name: spark.read.parquet(f"{sf}/{name}.parquet")).collect()
+    assert all(boxes[p.c_nationkey].west <= p.lon <= boxes[p.c_nationkey].east and boxes[p.c_nationkey].south <= p.lat <= boxes[p.c_nationkey].north for p in points)
