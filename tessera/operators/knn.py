@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,9 +23,6 @@ BLOCK_BYTES, HELD = 8 << 20, 1 << 20
 #: Cells that an index search reads first.
 PROBE = 4
 
-#: Queries of one knn_join: their matrix is broadcast, so their number is checked.
-MOST_QUERIES = 100_000
-
 
 def knn(df: DataFrame, vector: str, target: Sequence[float], k: int, metric: str = "cosine", key: str | None = None) -> DataFrame:
     """``df``'s k nearest usable rows with distance and score; ties by key."""
@@ -46,42 +45,36 @@ def within(df: DataFrame, vector: str, target: Sequence[float], least: float, me
 def knn_join(queries: DataFrame, base: DataFrame, query_key: str, base_key: str, vector: str, k: int, metric: str = "cosine") -> DataFrame:
     """(query, neighbour, distance, score): the k nearest base rows of each query row, ties by key.
 
-    The queries' matrix goes to every task (their number is checked against MOST_QUERIES); a task multiplies it with its
-    own rows in batches and keeps k for each query, so the shuffle carries k rows for each query and task.
+    Queries go by blocks of about BLOCK_BYTES, each a pass over the base. A block's matrix goes to every task; a task
+    multiplies it with its own rows in batches and keeps k for each query, so the shuffle carries k rows for each query and task.
     """
-    rows = queries.select(query_key, vector).where(vx.usable(F.col(vector))).limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise QueryError(f"knn_join takes {MOST_QUERIES} queries at a time")
     spark = base.sparkSession
     schema = f"query {queries.schema[query_key].dataType.simpleString()}, neighbour {base.schema[base_key].dataType.simpleString()}, distance double"
-    arrow = to_arrow_schema(T._parse_datatype_string(schema))
-    if not rows:
+    parts = [_of_block(base, base_key, vector, spark.sparkContext.broadcast(block), block[1].shape[1], k, metric, schema) for block in _query_blocks(queries, query_key, vector)]
+    if not parts:
         return spark.createDataFrame([], schema).withColumn("score", F.col("distance"))
-    q = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
+    best = Window.partitionBy("query").orderBy("distance", "neighbour")
+    return reduce(DataFrame.unionByName, parts).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n").withColumn("score", vx.score(F.col("distance"), metric))
+
+
+def _of_block(base: DataFrame, base_key: str, vector: str, q: Broadcast, dim: int, k: int, metric: str, schema: str) -> DataFrame:
+    """The k nearest rows of each query of a block, by task."""
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = q.value
-        keep_k = np.empty((len(names), 0), object)
-        keep_d = np.empty((len(names), 0))
+        held = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.array(batch.column(0).to_pylist(), object)
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            d = np.concatenate([keep_d, vx.np_distance(matrix, x, metric)], axis=1)
-            ks = np.concatenate([keep_k, np.broadcast_to(keys, (len(names), len(keys)))], axis=1)
-            # a stable order by key first makes ties exact
-            by_key = np.argsort(ks, axis=1, kind="stable")
-            d, ks = np.take_along_axis(d, by_key, 1), np.take_along_axis(ks, by_key, 1)
-            top = np.argsort(d, axis=1, kind="stable")[:, :k]
-            keep_d, keep_k = np.take_along_axis(d, top, 1), np.take_along_axis(ks, top, 1)
-        if keep_d.size:
-            cols = ([n for n in names for _ in range(keep_d.shape[1])], keep_k.ravel().tolist(), keep_d.ravel())
+            if batch.num_rows:
+                keys = np.array(batch.column(0).to_pylist(), object)
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                held = _merge(held, matrix, keys, x, k, metric)
+        if held is not None:
+            d, ks = held
+            cols = ([n for n in names for _ in range(d.shape[1])], ks.ravel().tolist(), d.ravel())
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    part = base.select(base_key, vector).where(vx.usable(F.col(vector), len(rows[0][1]))).mapInArrow(run, schema)
-    best = Window.partitionBy("query").orderBy("distance", "neighbour")
-    return part.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n").withColumn("score", vx.score(F.col("distance"), metric))
+    return base.select(base_key, vector).where(vx.usable(F.col(vector), dim)).mapInArrow(run, schema)
 
 
 def _query_blocks(queries: DataFrame, query_key: str, vector: str) -> Iterator[tuple[list, np.ndarray]]:

@@ -203,3 +203,24 @@ def test_whole_boxes_hold_every_point(spark):
     boxes = {r.c_nationkey: r for r in queries.QUERIES["mbr_by_nation_whole"](spark, sf).collect()}
     points = queries._points(lambda name: spark.read.parquet(f"{sf}/{name}.parquet")).collect()
     assert all(boxes[p.c_nationkey].west <= p.lon <= boxes[p.c_nationkey].east and boxes[p.c_nationkey].south <= p.lat <= boxes[p.c_nationkey].north for p in points)
+
+
+def test_knn_join_takes_any_number_of_queries(spark):
+    x = np.random.default_rng(5).normal(size=(20, 2))
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    asked = spark.range(100_001).select("id", F.array(F.cos("id"), F.sin("id")).alias("v"))
+    got = {r.query: r.neighbour for r in knn.knn_join(asked, base.withColumn("id", F.col("id").cast("long")), "id", "id", "v", 1).collect()}
+    ids = np.arange(100_001)
+    d = vx.np_distance(np.stack([np.cos(ids), np.sin(ids)], axis=1), x)
+    assert len(got) == len(ids) and np.mean([got[i] == n for i, n in enumerate(d.argmin(axis=1).tolist())]) > 0.999
+
+
+def test_knn_join_blocks(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(200, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 60 * 64)
+    d = vx.np_distance(x, x, "euclidean")
+    got = {}
+    for r in knn.knn_join(df, df, "id", "id", "v", 3, "euclidean").collect():
+        got.setdefault(r.query, set()).add(r.neighbour)
+    assert got == {i: set(np.argsort(d[i], kind="stable")[:3].tolist()) for i in range(200)}
