@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -23,16 +23,18 @@ _temporary: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one temporary folder where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one temporary folder where it is unset (tests on one machine)."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _temporary:
         _temporary.append(tempfile.mkdtemp(prefix="tessera-"))
     return _temporary[0]
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive any executor."""
+    """Tables written to the shared folder: they cut lineage and outlive any executor. The folder goes when the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
@@ -41,6 +43,9 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/t{self.n}"
         df.write.parquet(path)
+        if self.n == 1:
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
         return out
@@ -82,11 +87,40 @@ def per_batch(df: DataFrame, fn: Callable[[list[list]], list[list]], schema: str
 
 
 def per_text(docs: DataFrame, keep: tuple[str, ...], text: str, fn: Callable[[list[list]], list[list]], more: str, own: dict | None = None) -> DataFrame:
-    """Like per_batch: fn gets the columns ``keep`` and the text, and returns ``keep`` and the columns ``more``."""
+    """Like per_batch: fn gets the columns ``keep`` and the text, and returns ``keep`` and the columns ``more``.
+
+    A kept column whose name one of ``more`` has comes back as ``<name>_kept``; columns that are not kept clash with nothing.
+    """
     names = list(dict.fromkeys([*keep, text]))
     df = docs.select(*[F.col(f"`{n}`") if n in keep else F.col(f"`{n}`").cast("string").alias(n) for n in names])
-    kept = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return per_batch(df, fn, f"{kept}, {more}" if keep else more, own, [names.index(n) for n in (*keep, text)])
+    added = T._parse_datatype_string(more)
+    taken = {f.name.lower() for f in added}
+    kept = []
+    for k in keep:
+        name = k
+        while name.lower() in taken:
+            name += "_kept"
+        taken.add(name.lower())
+        kept.append(T.StructField(name, docs.schema[k].dataType))
+    return per_batch(df, fn, T.StructType([*kept, *added]), own, [names.index(n) for n in (*keep, text)])
+
+
+def least_hashes(rows: DataFrame, most: int) -> list:
+    """The ``most`` distinct rows of each label with the least hash, of ``rows`` (label, hash: long, ...), collected.
+
+    A cut-off from each label's approximate count keeps about twice as many rows before anything is shuffled, so the
+    sort that picks them reads no more however large the table is. Labels are few; a null label or hash is no row.
+    """
+    rows = rows.where("label IS NOT NULL AND hash IS NOT NULL")
+    half = F.shiftrightunsigned("hash", 1)
+    counts = rows.groupBy("label").agg(F.approx_count_distinct("hash", 0.02).alias("n")).collect()
+    if not counts:
+        return []
+    cuts = [(r.label, min((1 << 63) - 1, int(2 * (most + 50) / max(1, r.n) * (1 << 63)))) for r in counts]
+    table = rows.sparkSession.createDataFrame(cuts, T.StructType([T.StructField("label", rows.schema["label"].dataType), T.StructField("cut", T.LongType())]))
+    few = rows.join(F.broadcast(table), "label").where(half <= F.col("cut")).drop("cut").distinct()
+    order = Window.partitionBy("label").orderBy(half, *[c for c in rows.columns if c != "label"])
+    return few.withColumn("nth_", F.row_number().over(order)).where(F.col("nth_") <= most).drop("nth_").collect()
 
 
 def give_back() -> None:

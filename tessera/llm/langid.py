@@ -5,29 +5,44 @@ lexicon of training words; learned transitions tie neighbouring words, and forwa
 A text's language is the one with the largest mean posterior, which is its score. ``label_words`` returns the words'
 own languages, for code-switched text.
 
-The field is fitted on the driver, on at most PER_LABEL rows of each label (the rows with the smallest hash of their
-text) and the first TRAIN_CHARS code points of each: both bounds are parameters, so the driver's share does not grow with
-the table. Training sequences join runs of documents of different labels, from which the transitions are learned.
-Prediction reads whole texts, without a shuffle.
-
-Null texts, texts without a letter and a model without labels give ``und`` with score 0. Ties go to the label first in
-order. Rows repeat and ids may be null: each row is predicted by its text alone.
+The field is fitted on the driver, on at most PER_LABEL rows of each label (distinct texts, those with the smallest hash,
+so that a group of copies counts once) and on their whole texts. The bound is a parameter, so the driver's share does not grow
+with the table. Training sequences join runs of documents of different labels, from which the transitions are learned.
+Prediction reads whole texts, without a shuffle, in time linear in their length.
+
+Null texts, texts without a letter (numerals are none) and a model without labels give ``und`` with score 0. Ties go to
+the label first in order. Rows repeat and ids may be null: each row is predicted by its text alone. An empty table gives
+no rows. A kept column that is called ``lang_pred`` or ``score`` comes back with ``_kept`` added.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from itertools import chain
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import per_text
+from tessera.llm.common import least_hashes, per_text
 
-PER_LABEL, TRAIN_CHARS = 400, 4000
+PER_LABEL = 400
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+#: The documents that the registered query and the pipeline learn from; those without an id are among them.
+LEARNS = "coalesce(crc32(cast(doc_id as string)) % 4 <> 2, true)"
+
+
+def _class(kinds: str) -> str:
+    """The characters of some Unicode categories (by first letter), as ranges of a pattern's class."""
+    codes = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in kinds]
+    cuts = [0, *(i for i in range(1, len(codes)) if codes[i] != codes[i - 1] + 1), len(codes)]
+    return "".join(f"\\U{codes[a]:08x}-\\U{codes[b - 1]:08x}" for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+#: A letter, then letters and the marks on them.
+WORD = re.compile(f"[{_class('L')}][{_class('LM')}]*")
 #: Words of a training sequence, sequences, mean words of a run of one label, rounds and penalty of the fit.
 LENGTH, SEQUENCES, RUN, ROUNDS, RATE, PENALTY = 60, 900, 15, 60, 0.25, 2e-5
 #: Words whose scores a worker keeps, and cells of one forward-backward block.
@@ -41,13 +56,13 @@ def words_of(text: str | None) -> list[str]:
 
 
 def features(word: str) -> list[str]:
-    """Affixes, character n-grams and the word itself."""
+    """Affixes, character n-grams and the word itself; the first character tells which (upper case, as words have none)."""
     framed = f"^{word}$"
-    out = ["w" + word]
-    out += ["p" + word[:k] for k in (1, 2, 3) if len(word) >= k]
-    out += ["s" + word[-k:] for k in (1, 2, 3) if len(word) >= k]
+    out = ["W" + word]
+    out += ["P" + word[:k] for k in (1, 2, 3) if len(word) >= k]
+    out += ["S" + word[-k:] for k in (1, 2, 3) if len(word) >= k]
     for k in (2, 3):
-        out += [framed[i : i + k] for i in range(len(framed) - k + 1)]
+        out += ["N" + framed[i : i + k] for i in range(len(framed) - k + 1)]
     return out
 
 
@@ -165,11 +180,16 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Field:
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "lang", per_label: int = PER_LABEL) -> Field:
-    """Fits on at most ``per_label`` rows of each non-null label; the limit holds within each task before any shuffle."""
-    part = labelled.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{label}`").cast("string").alias("label"), F.substring(F.col(f"`{text}`").cast("string"), 1, TRAIN_CHARS).alias("t"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("t"), "t")
-    rows = part.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label).select("label", "t").collect()
-    return fit([(r.label, r.t) for r in rows])
+    """Fits on at most ``per_label`` distinct texts of each non-null label. Texts leave their tasks only if they are chosen."""
+    rows = labelled.select(F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{text}`").cast("string").alias("t")).where("label IS NOT NULL AND t IS NOT NULL")
+    keyed = rows.withColumn("hash", F.xxhash64("t"))
+    chosen = least_hashes(keyed.select("label", "hash"), per_label)
+    if not chosen:
+        return fit([])
+    # at most per_label rows for each label
+    picked = labelled.sparkSession.createDataFrame([(r.label, r.hash) for r in chosen], "label string, hash long")
+    texts = keyed.join(F.broadcast(picked), ["label", "hash"]).groupBy("label", "hash").agg(F.min("t").alias("t"))
+    return fit([(r.label, r.t) for r in texts.collect()])
 
 
 class Labeller:

@@ -39,10 +39,10 @@ def test_words_of_code_switched_text(field):
 
 
 def test_edges(spark, field):
-    rows = [(1, EN, "x"), (2, None, "x"), (3, "123 ... \n", "x"), (None, DE, "x"), (1, EN, "x"), (4, "haus " * 50_000, None), (5, "", "x")]
+    rows = [(1, EN, "x"), (2, None, "x"), (3, "123 ... \n", "x"), (None, DE, "x"), (1, EN, "x"), (4, "haus " * 50_000, None), (5, "", "x"), (6, "½ ²³ Ⅷ ٣ 一1"[:7], "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, score string")
     got = sorted(((r.doc_id, r.lang_pred, r.score) for r in langid.predict_table(df, field).collect()), key=str)
-    assert [(i, p) for i, p, _ in got] == [(1, "en"), (1, "en"), (2, "und"), (3, "und"), (4, "de"), (5, "und"), (None, "de")]
+    assert [(i, p) for i, p, _ in got] == [(1, "en"), (1, "en"), (2, "und"), (3, "und"), (4, "de"), (5, "und"), (6, "und"), (None, "de")]
     assert all(0 <= s <= 1 for *_, s in got) and all(s == 0 for _, p, s in got if p == "und")
     assert langid.predict_table(df.limit(0), field).count() == 0
     none = langid.train(spark.createDataFrame([(1, None, "a b")], "doc_id long, lang string, text string"))
@@ -62,3 +62,38 @@ def test_held_out_accuracy(spark):
     field = langid.train(docs.where("not held"))
     rows = langid.predict_table(docs.where("held"), field, keep=("doc_id", "lang")).collect()
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
+
+
+def test_words_are_letters_with_their_marks():
+    assert langid.words_of("½ a1b ²³ Ünï हिन्दी भाषा e\u0301t x_y Ⅷ") == ["a", "b", "ünï", "हिन्दी", "भाषा", "e\u0301t", "x", "y"]
+    assert langid.words_of(None) == langid.words_of("12 ¼ _ .") == []
+
+
+def test_templates_do_not_meet():
+    # prefix "p" + "a" and the bigram "pa", suffix "s" + "th" and the trigram "sth", word "w" + "a" and the bigram "wa"
+    kinds = {}
+    for w in ("pa", "a", "wa", "sth", "th", "path", "was"):
+        for f in langid.features(w):
+            kinds.setdefault(f[1:], set()).add(f[0])
+            assert f[0] in "WPSN"
+    assert kinds["pa"] >= {"W", "P", "N"} and len(set(langid.features("a"))) == len(langid.features("a"))
+
+
+def test_training_takes_distinct_texts_and_whole_ones(spark):
+    late = "zzz " * 3000 + "le chat et la maison"
+    rows = [("fr", "copie " * 4)] * 500 + [("fr", late)] + [("en", EN)] * 3
+    df = spark.createDataFrame(rows, "lang string, text string")
+    seen = {}
+    real = langid.fit
+    try:
+        langid.fit = lambda got, **_: seen.update(rows=got) or real(got)
+        langid.train(df, per_label=2)
+    finally:
+        langid.fit = real
+    assert sorted(seen["rows"]) == sorted([("en", EN), ("fr", "copie " * 4), ("fr", late)])
+
+
+def test_clash(spark, field):
+    df = spark.createDataFrame([(1, EN, "x", 2.0)], "doc_id long, text string, lang_pred string, score double")
+    got = langid.predict_table(df, field, keep=("lang_pred", "score")).collect()
+    assert [tuple(r)[:3] for r in got] == [("x", 2.0, "en")]
