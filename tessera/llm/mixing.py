@@ -2,38 +2,58 @@
 
 A classifier fitted on a labelled table gives each document a posterior over domains. Nonnegative document rates r are
 then fitted by least squares so that each domain's expected tokens, the sum of rate * tokens * posterior, match its
-target. The fit is projected gradient descent from rate one, distributed: a round sums each domain's expected tokens
-over all documents, and every document steps by its own part of the gradient and is cut off at zero. Steps are measured
-in tokens (long documents do not move further than short ones), and residuals are whitened by the domains' second moments
-over the documents that are not cut off; as long as no document is, the first round hits the targets.
+target. With A the domains' expected tokens at rate one, document by document, and G the domains' second moments
+(the sum of tokens * posterior * posterior'), the problem is to minimise (A r - t)' G^+ (A r - t) over r >= 0. G is fixed
+before the first round. The fit is distributed projected gradient descent from rate one: a round sums each domain's
+expected tokens over all documents, and every document steps by its own part of the gradient and is cut off at zero.
+Steps are measured
+in tokens (long documents do not move further than short ones); in that measure the gradient's Lipschitz constant is one,
+so a step of one never raises the objective. The first QUICK rounds whiten the step by the documents that are not cut off,
+which meets targets within reach in few rounds. If they are not met, the fit goes on from its best rates: a round
+tries several steps in its one pass, the gradient times each of STRETCHES among them, and takes the one that leaves least.
+
+The rounds end when the targets are met, when no step lowers the objective, or after ROUNDS; a fit that
+ends short of the targets says so by a warning, and ``Fit.residual`` is what is left. Targets that cannot be met get the nearest sums
+of that one problem.
 
 Only the sums of the domains and one multiplier for each domain and round reach the driver: a document's rate is the
-fold of the rounds' steps over its posterior. There is no shuffle but that of the sums. The classifier is a logistic regression
-on the words of at most PER_DOMAIN labelled documents of each domain and their first TRAIN_CHARS code points: both bounds are parameters.
+fold of the rounds' steps over its posterior. A round is one pass in
+vectorised numpy over tokens and posteriors; there is no shuffle but that of the sums. The classifier is a logistic
+regression on the words of whole texts, of at most PER_DOMAIN labelled documents of each domain: that bound is a parameter.
 
 Null texts have no tokens and the posterior of an empty text. Without labelled rows there is no domain, and every rate
-is one. Targets that cannot be met get the nearest sums within the rounds. Repeated rows have equal rates; a row is
-copied floor(rate) times and once more with the chance that is left over, drawn from a hash of its id and text.
+is one. An empty table gives no rows. Very long texts are read whole, by one pass over their words. Repeated rows have
+equal rates and equal copies; a row is copied floor(rate) times and once more with the chance that is left over, drawn
+from a hash of its id and text. A kept column that is called like an output column comes back with ``_kept`` added.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, per_text
+from tessera.llm.common import Scratch, least_hashes, per_text
 
-PER_DOMAIN, TRAIN_CHARS = 1000, 8000
+PER_DOMAIN = 1000
 #: Rounds, rate and penalty of the classifier's fit.
 FIT_ROUNDS, FIT_RATE, PENALTY = 80, 0.1, 1e-5
 #: Training documents that share a word of the vocabulary, at least.
 LEAST_ROWS = 20
-#: Rounds of the rates' fit, and the relative residual at which it ends.
-ROUNDS, TOLERANCE = 40, 1e-4
+#: Rounds of the rates' fit at most and quick ones among them, the relative residual at which it ends.
+ROUNDS, QUICK, TOLERANCE = 60, 20, 1e-4
+#: Multiples of the gradient that a round tries.
+STRETCHES = (1.0, 8.0, 64.0, 512.0)
+#: Working columns, and those that ``mix`` adds.
+DRAW, TEXT = "draw_of_copies", "text_to_mix"
+OUTPUTS = {"n_tokens", "posterior", "rate", "copies", "residual"}
 
 
 def _shape(text: str, distinct: int) -> list[float]:
@@ -108,10 +128,12 @@ def train(docs: DataFrame, labelled: DataFrame, domain: Column, per_domain: int
     """Fits on at most ``per_domain`` rows of each domain of ``labelled`` (doc_id, ...), by a hash of the id."""
     rows = labelled.select(F.col("doc_id").cast("long").alias("id"), domain.cast("string").alias("domain")).where("id IS NOT NULL AND domain IS NOT NULL")
     shares = {r.domain: r["count"] for r in rows.groupBy("domain").count().collect()}
-    chosen = rows.withColumn("n", F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("id"), "id"))).where(F.col("n") <= per_domain)
+    chosen = least_hashes(rows.select(F.col("domain").alias("label"), F.xxhash64("id").alias("hash"), "id"), per_domain)
+    if not chosen:
+        return Classifier([])
     # at most per_domain rows for each domain
-    picked = docs.sparkSession.createDataFrame([(r.id, r.domain) for r in chosen.collect()], "id long, domain string")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.substring(F.col("text").cast("string"), 1, TRAIN_CHARS).alias("t")).where("t IS NOT NULL").join(F.broadcast(picked), "id")
+    picked = docs.sparkSession.createDataFrame([(r.id, r.label) for r in chosen], "id long, domain string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t")).where("t IS NOT NULL").join(F.broadcast(picked), "id")
     # copies of an id would weigh more than others
     return Classifier([(r.domain, r.t) for r in texts.groupBy("id", "domain").agg(F.min("t").alias("t")).collect()], shares)
 
@@ -122,45 +144,118 @@ def posteriors(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("doc
     return per_text(docs, keep, text, lambda c: [*c[:-1], *shared.value.predict(c[-1])], "n_tokens bigint, posterior array<double>")
 
 
-def _rate(steps: list[np.ndarray], p: str = "posterior") -> Column:
+@dataclass
+class Fit:
+    """The rounds' multipliers, the sums they lead to, and the largest distance of a sum from its target, as a share of all targets."""
+
+    steps: list[np.ndarray]
+    sums: np.ndarray
+    residual: float
+
+
+def _rate(steps: list[np.ndarray]) -> Column:
     """The rate of a document: one, less each round's step, cut off at zero each time."""
-    out = F.lit(1.0)
+    if not steps:
+        return F.lit(1.0)
+    lams = F.array(*[F.array(*[F.lit(float(x)) for x in lam]) for lam in steps])
+    return F.aggregate(lams, F.lit(1.0), lambda r, lam: F.greatest(F.lit(0.0), r - sum((F.get("posterior", F.lit(k)) * F.get(lam, F.lit(k)) for k in range(len(steps[0]))), F.lit(0.0))))
+
+
+def _fold(rates: np.ndarray, p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     for lam in steps:
-        out = F.greatest(F.lit(0.0), out - sum((F.get(p, F.lit(k)) * float(x) for k, x in enumerate(lam)), F.lit(0.0)))
-    return out
+        rates = np.maximum(0.0, rates - p @ lam)
+    return rates
+
+
+def _pass(table: DataFrame, k: int, steps: list[np.ndarray], tried: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each list of further steps tried: the sums (k) it leads to, and the second moments (k, k) of the documents that it does not cut off."""
+    size = k + k * k
+    arrow = pa.schema([("at", pa.int32()), ("v", pa.float64())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(tried), size))
+        for batch in batches:
+            n = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+            p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            before = _fold(np.ones(len(n)), p, steps)
+            for c, more in enumerate(tried):
+                r = _fold(before, p, more)
+                live = p * (n * (r > 0))[:, None]
+                out[c] += np.concatenate([(r * n) @ p, (live.T @ p).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size, dtype=np.int32)), pa.array(out.ravel())], schema=arrow)
 
-def fit_rates(table: DataFrame, targets: list[float], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> list[np.ndarray]:
-    """The rounds' multipliers for ``table`` (n_tokens, posterior), so that expected domain tokens match ``targets``."""
+    rows = table.select("n_tokens", "posterior").mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    got = np.zeros(len(tried) * size)
+    for r in rows:
+        got[r["at"]] = r["v"]
+    got = got.reshape(len(tried), size)
+    return got[:, :k], got[:, k:].reshape(-1, k, k)
+
+
+def fit_rates(table: DataFrame, targets: list[float], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Fit:
+    """The fit for ``table`` (n_tokens, posterior), so that expected domain tokens match ``targets``."""
     k = len(targets)
-    if not k:
-        return []
-    p = [F.get("posterior", F.lit(i)) for i in range(k)]
-    sums = [F.sum(F.col("rate") * F.col("n_tokens") * p[i]).alias(f"s{i}") for i in range(k)]
-    # second moments of the documents that a step still moves
-    moments = [F.sum(F.when(F.col("rate") > 0, F.col("n_tokens") * p[i] * p[j])).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]
     want = np.array(targets, float)
+    if not k:
+        return Fit([], want, 0.0)
+    far = max(1.0, want.sum())
     steps: list[np.ndarray] = []
-    for _ in range(rounds):
-        now = table.select("n_tokens", "posterior", _rate(steps).alias("rate")).agg(*sums, *moments).first()
-        off = np.array([now[f"s{i}"] or 0.0 for i in range(k)]) - want
-        g = np.array([[now[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-        if not g.any() or np.abs(off).max() <= tolerance * max(1.0, want.sum()):
-            break
-        steps.append(np.linalg.pinv(g, rcond=1e-9) @ off)
-    return steps
+    sums, moments = _pass(table, k, steps, [[]])
+    got, live = sums[0], moments[0]
+    # at rate one no document is cut off
+    metric = np.linalg.pinv(live, rcond=1e-9)
+
+    def cost(reached: np.ndarray) -> float:
+        return float((reached - want) @ metric @ (reached - want))
+
+    def met() -> bool:
+        return bool(np.abs(got - want).max() <= tolerance * far) or not metric.any()
+
+    # the step that would be best if no document were cut off anew; the objective may rise on the way
+    best = (cost(got), 0, got, live)
+    while not met() and len(steps) < min(QUICK, rounds):
+        steps.append(np.linalg.pinv(live, rcond=1e-9) @ (got - want))
+        sums, moments = _pass(table, k, steps, [[]])
+        got, live = sums[0], moments[0]
+        best = min(best, (cost(got), len(steps), got, live), key=lambda b: b[0])
+    # targets out of easy reach: on from the best rates so far by steps that never raise the objective
+    if not met():
+        least, size, got, live = best
+        del steps[size:]
+        for _ in range(rounds - QUICK):
+            off = got - want
+            plain = np.linalg.pinv(live, rcond=1e-9) @ off
+            exact = np.linalg.pinv(live @ metric @ live, rcond=1e-9) @ live @ metric @ off
+            tried = [*([x * (metric @ off)] for x in STRETCHES), [exact], [plain]]
+            sums, moments = _pass(table, k, steps, tried)
+            c = min(range(len(tried)), key=lambda c: cost(sums[c]))
+            # a step that gains next to nothing means that the sums are the nearest there are
+            if cost(sums[c]) >= least * (1 - 1e-6):
+                break
+            steps += tried[c]
+            got, live, least = sums[c], moments[c], cost(sums[c])
+            if met():
+                break
+    residual = float(np.abs(got - want).max() / far)
+    if residual > tolerance:
+        warnings.warn(f"domain tokens miss their targets by up to {residual:.4%} of all after {len(steps)} rounds", stacklevel=2)
+    return Fit(steps, got, residual)
 
 
-def mix(docs: DataFrame, model: Classifier, weights: dict[str, float], keep: tuple[str, ...] = ("doc_id",), text: str = "text", budget: float = 1.0) -> DataFrame:
-    """``keep``, then n_tokens, posterior, rate and copies of every row.
+def mix(docs: DataFrame, model: Classifier, weights: dict[str, float], keep: tuple[str, ...] = ("doc_id",), text: str = "text", budget: float = 1.0, draw: tuple[str, str] | None = None, residual: bool = False) -> DataFrame:
+    """``keep``, then n_tokens, posterior, rate and copies of every row and, if asked for, the fit's residual.
 
-    ``weights`` are the domains' shares of ``budget`` times the table's tokens; a domain left out has share 0.
+    ``weights`` are the domains' shares of ``budget`` times the table's tokens; a domain left out has share 0. Copies are drawn by
+    the columns ``draw``: id and text if not given.
     """
     scratch = Scratch(docs.sparkSession)
-    table = scratch.write(posteriors(docs, model, keep, text))
+    columns = draw or ("doc_id", text)
+    names = {k: f"{k}_kept" if k.lower() in OUTPUTS else k for k in keep}
+    rows = docs.select(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(1 << 52)).alias(DRAW), *[F.col(f"`{k}`").alias(n) for k, n in names.items()], F.col(f"`{text}`").alias(TEXT))
+    table = scratch.write(posteriors(rows, model, (DRAW, *names.values()), TEXT))
     total = (table.agg(F.sum("n_tokens")).first()[0] or 0) * budget
     whole = sum(weights.get(d, 0.0) for d in model.domains)
-    steps = fit_rates(table, [total * weights.get(d, 0.0) / whole for d in model.domains]) if whole else []
-    draw = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keep]), F.lit(1 << 52)) / float(1 << 52)
-    rated = table.select("*", _rate(steps).alias("rate"))
-    return rated.withColumn("copies", (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
+    fit = fit_rates(table, [total * weights.get(d, 0.0) / whole for d in model.domains]) if whole else Fit([], np.zeros(0), 0.0)
+    rated = table.select("*", _rate(fit.steps).alias("rate"))
+    out = rated.withColumn("copies", (F.floor("rate") + F.when(F.col(DRAW) / float(1 << 52) < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")).drop(DRAW)
+    return out.withColumn("residual", F.lit(fit.residual)) if residual else out

@@ -20,7 +20,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     model = mixing.train(docs, _table(spark, sf_dir, "labels"), F.expr(DOMAIN))
-    return mixing.mix(docs, model, WEIGHTS).withColumn("domain", F.get(F.array(*map(F.lit, model.domains)) if model.domains else F.array(F.lit("")), F.array_position("posterior", F.array_max("posterior")).cast("int") - 1))
+    return mixing.mix(docs, model, WEIGHTS, residual=True).withColumn("domain", F.get(F.array(*map(F.lit, model.domains)) if model.domains else F.array(F.lit("")), F.array_position("posterior", F.array_max("posterior")).cast("int") - 1))
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     held = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 4 = 2"), F.lit(False))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held.alias("held_out"))
-    return langid.predict_table(docs, langid.train(docs.where("not held_out")), keep=("doc_id", "held_out"))
+    return langid.predict_table(docs, langid.train(docs.where(langid.LEARNS)), keep=("doc_id", "held_out"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
