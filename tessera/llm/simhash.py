@@ -7,12 +7,15 @@ third, they would differ in at least five, so every link agrees within the radiu
 is enumerated upwards only (bits that are 0 are set): of two keys one bit apart, one reaches the other.
 Table matches are verified by their complete distance.
 
-Equal fingerprints are collapsed before the search, so a group of copies of any size costs one row. Keys shared by
-more than HOT fingerprints are not joined row by row: their members are dealt into blocks, and each pair of blocks
-returns the links of a spanning forest, which joins the same components without listing a dense group's pairs.
+Equal fingerprints are collapsed before the search, so a group of copies of any size costs one row. The home of a
+fingerprint is its own key; probes are the keys of its ball. A key at which more than HOT homes meet, or at which homes
+and probes make more than WORK pairs, is not joined row by row: homes and probes are dealt into blocks, and each pair of
+blocks returns the links of a spanning forest, which joins the same components without listing a dense group's pairs.
 
+Fingerprints are the nodes, so repeated ids with different texts stay apart, and ties (equal fingerprints) are one node.
 Null and blank texts have fingerprint zero and link like any other. Rows with a null id get a fingerprint and the
-component of their fingerprint's group (null if no row of the group has an id). Repeated ids are one node.
+component of their fingerprint's group (null if no row of the group has an id). Very long texts are read whole, CHUNK
+shingles at a time. An empty table gives no rows. Only the id and the text are read: other columns clash with nothing.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ from tessera.llm.common import Scratch, connected_components, per_batch
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: (first bit, bits, radius) of the segments, lowest bits first.
 SEGMENTS = ((0, 22, 1), (22, 21, 1), (43, 21, 0))
-#: Fingerprints that may share a key before blocks replace the row by row join, and members of a block.
-HOT, BLOCK = 64, 1024
+#: Homes, and pairs of a home and a member, that a key may have before blocks replace the row by row join; members of a block.
+HOT, WORK, BLOCK = 64, 1 << 16, 1024
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 16
 
@@ -64,13 +67,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp: long) of every row."""
-    return per_batch(docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")), lambda c: [c[0], [fingerprint(t) for t in c[1]]], "doc_id bigint, fp bigint")
+    """(doc_id, mark, fp: long) of every row; ``mark`` is a hash of the text, null as empty."""
+    text_ = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return per_batch(docs.select(F.col(f"`{doc_id}`").cast("long"), F.xxhash64(text_), text_), lambda c: [c[0], c[1], [fingerprint(t) for t in c[2]]], "doc_id bigint, mark bigint, fp bigint")
 
 
 def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of a spanning forest of the linked fingerprints of two blocks."""
-    fps = np.unique(pdf["fp"].to_numpy(np.int64)).view(np.uint64)
+    """Links of a spanning forest between the homes and the members of two blocks."""
+    fps = np.unique(pdf["fp"].to_numpy(np.int64).view(np.uint64))
+    homes = np.searchsorted(fps, np.unique(pdf.loc[pdf["home"], "fp"].to_numpy(np.int64).view(np.uint64)))
     parent = np.arange(len(fps))
 
     def root(i: int) -> int:
@@ -80,8 +85,8 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
         return i
 
     a, b = [], []
-    for i in range(len(fps)):
-        for j in i + 1 + np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= DISTANCE):
+    for i in homes.tolist():
+        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= DISTANCE).tolist():
             x, y = root(i), root(j)
             if x != y:
                 parent[max(x, y)] = min(x, y)
@@ -102,29 +107,50 @@ def links(distinct: DataFrame) -> DataFrame:
         rows.append(distinct.selectExpr("fp", f"explode({keys}) as p").selectExpr("fp", f"p.k * {len(SEGMENTS)} + {k} as bucket", "p.home as home"))
     probes = rows[0].unionByName(rows[1]).unionByName(rows[2])
     homes = probes.filter("home").select("bucket", F.col("fp").alias("other"))
-    counts = homes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    hot = counts.filter(F.col("n") > HOT)
+    counts = probes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("home"), 1)).alias("homes")).filter("homes > 0 AND n > 1")
+    hot = counts.filter((F.col("homes") > HOT) | (F.col("homes") * F.col("n") > WORK))
     cold = probes.join(hot, "bucket", "left_anti").join(homes, "bucket").filter((F.expr("bit_count(fp ^ other)") <= DISTANCE) & ((~F.col("home")) | (F.col("fp") < F.col("other")))).select(F.col("fp").alias("x"), F.col("other").alias("y"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = (
-        probes.join(hot, "bucket")
-        .withColumn("blocks", blocks)
-        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    )
-    return cold.unionByName(dealt.groupBy("bucket", "i", "j").applyInPandas(_forest, "x bigint, y bigint"))
+    # a group of a block of homes and a block of members: each member once for every block of homes, each home for every block of members
+    met = probes.join(hot, "bucket").select("bucket", "fp", "home", F.ceil(F.col("homes") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("n") / BLOCK).cast("int").alias("cols"), F.xxhash64("fp").alias("h"))
+    as_home = met.filter("home").select("bucket", F.pmod("h", "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), "fp", F.lit(True).alias("home"))
+    as_member = met.select("bucket", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod("h", "cols").cast("int").alias("j"), "fp", F.lit(False).alias("home"))
+    return cold.unionByName(as_home.unionByName(as_member).groupBy("bucket", "i", "j").applyInPandas(_forest, "x bigint, y bigint"))
+
+
+def _components(fps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fp, component) of the distinct fingerprints of ``fps``; a component's name is one of its fingerprints."""
+    distinct = scratch.write(fps.select("fp").distinct())
+    found = scratch.write(links(distinct))
+    parts = connected_components(found.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
+    return distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp: long, component_id) of every row; component_id is the smallest id reachable by links."""
     scratch = Scratch(docs.sparkSession)
-    fps = scratch.write(fingerprints(docs, doc_id, text))
-    groups = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = scratch.write(links(groups.select("fp")))
-    # fingerprints are nodes; a component then takes the smallest id of its fingerprints' groups
-    parts = connected_components(found.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
-    linked = groups.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_fp = scratch.write(linked.join(least, "component").select("fp", "component_id"))
+    fps = scratch.write(fingerprints(docs, doc_id, text).drop("mark"))
+    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(_components(fps, scratch), "fp")
+    groups = scratch.write(groups)
+    least = groups.groupBy("component").agg(F.min("rep").alias("component_id"))
+    by_fp = scratch.write(groups.join(least, "component").select("fp", "component_id"))
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One whole row of each component, with the columns of ``docs``: the smallest id's (rows without an id come last).
+
+    A row is known by its id and a hash of its text, not by the id alone, so rows that share an id but are no near
+    copies all stay. Of rows that are equal in both, the one with the least hash of its other columns stays.
+    """
+    scratch = Scratch(docs.sparkSession)
+    fps = scratch.write(fingerprints(docs, doc_id, text))
+    key = F.struct(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark")
+    groups = fps.groupBy("fp").agg(F.min(key).alias("key"))
+    kept = scratch.write(groups.join(_components(fps, scratch), "fp").groupBy("component").agg(F.min("key").alias("key")).select("key.*"))
+    id_ = F.col(f"`{doc_id}`").cast("long")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if f.name != text and not f.dataType.simpleString().count("map<")]
+    # the whole row is one column, so that its names clash with none of these
+    rows = docs.select(F.struct("*").alias("row"), id_.isNull().alias("late"), F.coalesce(id_, F.lit(0)).alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("mark"), F.xxhash64(F.lit(0), *plain).alias("rest"))
+    # copies of a row meet in the tasks that read them before they are shuffled; the join keeps that partitioning
+    one = rows.groupBy("late", "id", "mark").agg(F.min_by("row", "rest").alias("row"))
+    return one.join(kept, ["late", "id", "mark"], "left_semi").select("row.*")
