@@ -8,7 +8,10 @@ The trees are trained on the driver on candidates of synthetic sentences, made b
 training table is a parameter.
 
 A null text counts as empty: no spans. Offsets are code points. Base spans always stay; an added span never lies
-inside a base span. Each row is judged by its own text, so repeats and null ids are harmless. No shuffle.
+inside a base span. Of added spans with equal scores (ties) the first, then the longer, is taken. Each row is judged by
+its own text, so repeats and null ids are harmless. Very long texts take time linear in their length: every pattern is
+anchored where a run starts, and spans are compared in order. An empty table gives no rows. A kept column named
+like an output column comes back with ``_kept`` added. No shuffle.
 """
 
 from __future__ import annotations
@@ -16,7 +19,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right, insort
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,11 +31,13 @@ from tessera.llm.common import per_text
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
-# fixed values: the base patterns
+# The base patterns, each searched where a run of its characters starts, so that a run is read once. An address is looked
+# for from its sign on: of the run of characters before it, all that no earlier address has taken belong to it.
+LOCAL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?=@)")
+DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 BASE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 #: A text without these holds no match of the kind.
@@ -38,8 +45,8 @@ NEEDS = {"email": re.compile("@"), "ip": re.compile(r"[0-9]\.[0-9]"), "card": re
 
 PROPOSE = {
     "email": (
-        re.compile(r"(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)+"),
-        re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}\s?(?:\(at\)|\[at\]|\sat\s)\s?[\w-]{1,63}(?:\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?[\w-]{2,63}){1,4}", re.I),
+        re.compile(r"(?<![\w.%+-])[\w.%+-]++@[\w-]++(?:\.[\w-]++)++"),
+        re.compile(r"(?<![\w.%+-])[\w.%+-]++\s?(?:\(at\)|\[at\]|\sat\s)\s?[\w-]++(?:\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?[\w-]{2,}+)++", re.I),
     ),
     "ip": (
         re.compile(r"(?<![0-9.])(?=((?:[0-9]{1,3}\.){3}[0-9]{1,3}))(?!(?:[0-9]+\.){4})"),
@@ -85,9 +92,21 @@ def _passes(kind: str, match: str) -> bool:
     return (16 <= len(digits) <= 19 and luhn(digits)) if kind == "card" else 8 <= len(digits) <= 15
 
 
+def _emails(text: str) -> list[Span]:
+    out, last = [], 0
+    for m in LOCAL.finditer(text):
+        # the part of the run that an earlier address ended in is its own
+        start = max(m.start(), last)
+        if start < m.end() and (d := DOMAIN.match(text, m.end())):
+            out.append(("email", start, d.end()))
+            last = d.end()
+    return out
+
+
 def base_spans(text: str) -> list[Span]:
     """By kind as listed, then start."""
-    return [(kind, m.start(), m.end()) for kind in KINDS if NEEDS[kind].search(text) for m in BASE[kind].finditer(text) if _passes(kind, m.group())]
+    out = _emails(text) if NEEDS["email"].search(text) else []
+    return out + [(kind, m.start(), m.end()) for kind, pattern in BASE.items() if NEEDS[kind].search(text) for m in pattern.finditer(text) if _passes(kind, m.group())]
 
 
 def propose(text: str) -> list[Span]:
@@ -218,18 +237,50 @@ def model(rows: int = ROWS, seed: int = SEED) -> Trees:
     return Trees(np.array(x), np.array(y))
 
 
+class _Sorted:
+    """Spans in order of their starts, for questions about a stretch of text."""
+
+    def __init__(self, spans: list[Span]):
+        self.spans = sorted(spans, key=lambda s: s[1])
+        self.starts = [a for _, a, _ in self.spans]
+        self.reach = list(accumulate((b for _, _, b in self.spans), max))
+
+    def holds(self, a: int, b: int) -> bool:
+        """Whether one span holds all of the stretch."""
+        i = bisect_right(self.starts, a)
+        return i > 0 and self.reach[i - 1] >= b
+
+    def meeting(self, a: int, b: int) -> list[Span]:
+        """The spans that share a character with the stretch."""
+        out = []
+        for i in range(bisect_left(self.starts, b) - 1, -1, -1):
+            if self.reach[i] <= a:
+                break
+            if self.spans[i][2] > a:
+                out.append(self.spans[i])
+        return out
+
+
 def find(text: str | None, trees: Trees) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each by kind as listed, then start."""
-    base = base_spans(text or "")
-    rest = [c for c in propose(text or "") if not any(a <= c[1] and c[2] <= b for _, a, b in base)]
+    text = text or ""
+    base = base_spans(text)
+    known = _Sorted(base)
+    rest = [c for c in propose(text) if not known.holds(*c[1:])]
     if not rest:
         return base, base
     scored = sorted(((trees.score(describe(text, c)), c) for c in rest), key=lambda r: (-r[0], r[1][1], -r[1][2], KINDS.index(r[1][0])))
-    taken: list[Span] = []
+    # added spans do not overlap, so only the nearest two can meet a candidate
+    taken: list[tuple[int, int]] = []
+    added: list[Span] = []
     for score, c in scored:
-        if score >= trees.cuts[c[0]] and not any(c[1] < b and a < c[2] for _, a, b in taken) and all(c[2] <= a or b <= c[1] or (k == c[0] and c[1] <= a and b <= c[2]) for k, a, b in base):
-            taken.append(c)
-    return base, sorted([*base, *taken], key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+        kind, a, b = c
+        i = bisect_left(taken, (a, b))
+        free = (i == len(taken) or taken[i][0] >= b) and (i == 0 or taken[i - 1][1] <= a)
+        if score >= trees.cuts[kind] and free and all(k == kind and a <= x and y <= b for k, x, y in known.meeting(a, b)):
+            insort(taken, (a, b))
+            added.append(c)
+    return base, sorted([*base, *added], key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
 def spell(spans: list[Span]) -> str:
