@@ -6,11 +6,16 @@ vectorised numpy. The fingerprint holds 16 bits of a mixed hash of each minimum
 long texts), and the share of equal slots of two fingerprints estimates the Jaccard likeness of their shingle sets.
 Equal texts have equal fingerprints; two texts without words are equal and like each other fully.
 
-``near_pairs`` joins bands of signatures in Spark, among class representatives of equal shingle sets, and keeps the
-pairs whose true Jaccard likeness of shingle hashes reaches the threshold. Representatives that share a band with more
-than HOT others are dealt into blocks, each pair of blocks to a task of its own.
-
-Null texts count as empty. Texts of any length are read whole, in chunks of CHUNK shingles.
+``near_components`` joins bands of signatures in Spark, among classes of equal shingle sets, and links the classes whose true
+Jaccard likeness of shingle hashes reaches the threshold. Classes that share bands, directly or through others, form a
+cluster; a cluster's sets meet once in a task, which tests pairs that share a band until their components are known, so
+a group of near copies costs a forest of links and not all its pairs. Clusters of more than BLOCK classes or SET_BYTES are dealt
+into blocks, each pair of blocks to a task of its own.
+
+Null texts count as empty. Texts of any length are read whole, in chunks of CHUNK shingles. Rows may repeat and share ids;
+rows with a null id come last in the order and take the component of their class (null if no row of the component has an
+id). Ties in the order go by a hash of the text, then the text. An empty table gives no rows. Only the id and the text are
+read: other columns clash with nothing.
 """
 
 from __future__ import annotations
@@ -21,21 +26,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.llm.common import Scratch, per_batch, small_batches
+from tessera.llm.common import Scratch, connected_components, per_batch, small_batches
 from tessera.llm.simhash import shingle_hashes
 
 SHINGLE, SLOTS, SEED = 5, 128, 20240607
 #: Rows of a band and the likeness that near duplicates reach; 25 bands of 5 miss a pair at 0.8 once in 20,000.
 BAND, THRESHOLD = 5, 0.8
 CHUNK = 2048
-#: Documents that one range of ids holds, about.
-RANGE_ROWS = 20_000
-HOT, BLOCK = 64, 256
+#: Bytes of text that one range of ids holds, about.
+RANGE_BYTES = 1 << 25
+#: Classes, and bytes of their sets, that a block of a cluster holds; sets compared with one at a time.
+BLOCK, SET_BYTES, AT_ONCE = 4096, 1 << 26, 64
 
 _rng = np.random.default_rng(SEED)
 #: Odd multipliers and offsets of the universal hash functions.
@@ -62,9 +68,14 @@ def slots(sig: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(48)).astype(np.uint16)
 
 
+def packed(sig: np.ndarray) -> bytes:
+    """The fingerprint: 16 bits of each slot."""
+    return slots(sig).astype(">u2").tobytes()
+
+
 def spell(sig: np.ndarray) -> str:
-    """The fingerprint: 16 bits of each slot, in hex."""
-    return slots(sig).astype(">u2").tobytes().hex()
+    """The fingerprint in hex."""
+    return packed(sig).hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -80,34 +91,51 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 # ---- each document against its edited text and the next document ---------------------------------------------------
 
 
-def _neighbours(docs: DataFrame) -> DataFrame:
-    """Rows (range, lead, doc_id, text), where ``lead`` marks a copy of the first row after a range's own.
+def _neighbours(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (range, lead, doc_id, h, text), where ``lead`` marks a copy of the first row after a range's own, and the number of ranges.
 
-    The order is descending doc_id (nulls last), then the larger text. Ranges are cut at quantiles of doc_id, so that
-    no document is shuffled more than once but for one copy of each range's first row.
+    The order is descending doc_id (nulls last), then a hash of the text, then the text. Ranges are cut at quantiles of doc_id, in
+    number by the bytes of text; an id that fills several ranges (and the rows without one) is cut further by the hash. No
+    document is shuffled more than once but for one copy of each range's first row.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = docs.agg(F.count(F.lit(1))).first()[0]
-    pieces = max(1, n // RANGE_ROWS)
-    cuts = []
-    if pieces > 1:
-        cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / pieces for i in range(1, pieces)], max(10_000, 20 * pieces))).first()[0] or []))
-    bounds = np.array(cuts, np.int64)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # ~id is the order's key: it falls as the id rises, without overflow
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col("doc_id").isNull().alias("late"), F.coalesce(F.bitwise_not(F.col("doc_id").cast("long")), F.lit(0)).alias("k"), F.xxhash64(text).alias("h"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("late"), 1)).alias("late")).first()
+    pieces = max(1, -(-(size["bytes"] or 0) // RANGE_BYTES))
+    low = -(2**63)
+    keys: list[int] = []
+    if pieces > 1 and size["n"] > size["late"]:
+        keys = sorted(docs.where("not late").agg(F.percentile_approx("k", [i / pieces for i in range(1, pieces)], max(10_000, 20 * pieces))).first()[0])
+
+    def spread(m: int) -> list[int]:
+        """Cuts of the hashes into m parts."""
+        return [low + i * 2**64 // m for i in range(m)]
+
+    times = {k: keys.count(k) for k in dict.fromkeys(keys)} if len(set(keys)) < len(keys) else dict.fromkeys(keys, 1)
+    cuts = [(k, h) for k, m in times.items() for h in spread(m)]
+    cut_k, cut_h = np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
+    late_h = np.array(spread(max(1, -(-pieces * size["late"] // max(1, size["n"])))), np.int64)
 
     @F.pandas_udf("int")
-    def piece(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.fillna(-(2**63)).to_numpy(np.int64), side="right").astype(np.int32))
-
-    # doc_id is nullable, so it crosses to pandas in two long columns that stay exact
-    where = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(piece(F.coalesce("doc_id", F.lit(0)))) if len(bounds) else F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.lit(0))
-    own = docs.select(where.cast("int").alias("range"), "doc_id", "text")
-    # at most a row for each range, whose number is bounded by rows over RANGE_ROWS
-    firsts = {r.range: r.first for r in docs.select(where.cast("int").alias("range"), "doc_id").groupBy("range").agg(F.max("doc_id").alias("first")).collect()}
-    order = sorted(firsts, reverse=True)
-    before = {r: order[i - 1] for i, r in enumerate(order)}
-    pairs = docs.sparkSession.createDataFrame([(firsts[r], before[r]) for r in order], "first long, lead_of int")
-    copies = docs.join(F.broadcast(pairs), F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("lead_of", "doc_id").agg(F.max("text").alias("text"))
-    return own.select("range", F.lit(0).alias("lead"), "doc_id", "text").unionByName(copies.select(F.col("lead_of").alias("range"), F.lit(1).alias("lead"), "doc_id", "text"))
+    def piece(late: pd.Series, k: pd.Series, h: pd.Series) -> pd.Series:
+        late, k, h = late.to_numpy(bool), k.to_numpy(np.int64), h.to_numpy(np.int64)
+        lo, hi = np.searchsorted(cut_k, k, side="left"), np.searchsorted(cut_k, k, side="right")
+        out = lo.copy()
+        for at in np.unique(lo[hi > lo]).tolist():
+            own = (lo == at) & (hi > lo)
+            out[own] = at + np.searchsorted(cut_h[at : hi[own][0]], h[own], side="right")
+        out[late] = len(cut_k) + np.searchsorted(late_h, h[late], side="right")
+        return pd.Series(out.astype(np.int32))
+
+    dealt = docs.withColumn("range", piece("late", "k", "h"))
+    # a row for each range, whose number is bounded by the bytes of text over RANGE_BYTES
+    firsts = {r["range"]: (r["first"]["late"], r["first"]["k"], r["first"]["h"]) for r in dealt.groupBy("range").agg(F.min(F.struct("late", "k", "h")).alias("first")).collect()}
+    order = sorted(firsts)
+    leads = docs.sparkSession.createDataFrame([(*firsts[r], order[i - 1]) for i, r in enumerate(order)], "late boolean, k long, h long, lead_of int")
+    copies = docs.join(F.broadcast(leads), ["late", "k", "h"]).groupBy("lead_of", "doc_id", "h").agg(F.min("text").alias("text"))
+    own = dealt.select("range", F.lit(0).alias("lead"), "doc_id", "h", "text")
+    return own.unionByName(copies.select(F.col("lead_of").alias("range"), F.lit(1).alias("lead"), "doc_id", "h", "text")), len(cuts) + len(late_h) + 1
 
 
 def edited(text: str, after: str) -> str:
@@ -116,13 +144,18 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
+def class_key(hashes: np.ndarray) -> bytes:
+    """What equal shingle sets share."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
 def against_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every document's fingerprint, its edited text's, and its likeness to that and to the next document's.
+    """Every document's fingerprint, its edited text's, and its likeness to that and to the next document's; the key of its class.
 
-    One shuffle, by ranges of doc_id; within a range a task reads its rows in order and holds two of them at a time.
-    Rows that share an id follow each other by text; a table of one row has itself for its next document.
+    One shuffle, by ranges of doc_id; a task reads the rows of its range in order and holds two of them at a time.
+    Rows that share an id follow each other by a hash of their text; a table of one row has itself for its next document.
     """
-    schema = T._parse_datatype_string("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    schema = T._parse_datatype_string("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, key binary")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,73 +163,121 @@ def against_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 for r in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
-                    now = (*r, text_signature(r[3]))
+                    hashes = np.unique(shingle_hashes(r[4], SHINGLE, SEED))
+                    now = (*r, signature(hashes), class_key(hashes))
                     if held is not None and held[0] == now[0] and not held[1]:
-                        change = edited(held[3], now[3])
-                        sig = held[4] if change == held[3] else text_signature(change)
-                        out.append((held[2], len(held[3]), hashlib.sha256(change.encode()).hexdigest(), spell(held[4]), spell(sig), likeness(held[4], sig), likeness(held[4], now[4])))
+                        _, _, i, _, own, sig, key = held
+                        change = edited(own, now[4])
+                        other = sig if change == own else text_signature(change)
+                        out.append((i, len(own), hashlib.sha256(change.encode()).hexdigest(), packed(sig), packed(other), likeness(sig, other), likeness(sig, now[5]), key))
                     held = now
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
                     out = []
 
     small_batches(docs.sparkSession)
-    rows = _neighbours(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
-    return rows.repartition("range").sortWithinPartitions("range", "lead", F.col("doc_id").desc_nulls_last(), F.col("text").desc()).mapInArrow(run, schema)
+    rows, ranges = _neighbours(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
+    return rows.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "lead", F.col("doc_id").desc_nulls_last(), "h", "text").mapInArrow(run, schema)
+
+
+def fingerprinted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``against_neighbours`` with fingerprints in hex, and the component of near duplicates of every row."""
+    found = against_neighbours(docs, doc_id, text)
+    near = near_components(docs, doc_id, text)
+    # only classes of several documents or with links have a row there; the join is broadcast if they are few
+    spelled = [F.lower(F.hex(c)).alias(c) if c in ("fingerprint", "edited_fingerprint") else F.col(c) for c in found.columns if c != "key"]
+    return found.join(near, "key", "left").select(*spelled, F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 # ---- near-duplicate pairs ------------------------------------------------------------------------------------------
 
 
-def _verified(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Pairs of one block pair whose shingle sets are alike enough."""
-    part = pdf.drop_duplicates("rep")
-    reps, sets = part["rep"].to_numpy(), [np.asarray(x, np.int64) for x in part["hashes"]]
-    out = []
-    for i in range(len(reps)):
-        for j in range(i + 1, len(reps)):
-            small, large = sorted((len(sets[i]), len(sets[j])))
-            if small >= threshold * large:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                score = both / (small + large - both) if large else 1.0
-                if score >= threshold:
-                    out.append((*sorted((int(reps[i]), int(reps[j]))), score))
-    return pd.DataFrame(out, columns=["a", "b", "jaccard"])
+def band_hashes(sig: np.ndarray) -> list[int]:
+    return [int.from_bytes(hashlib.blake2b(bytes([i]) + sig[i * BAND : (i + 1) * BAND].tobytes(), digest_size=8).digest(), "big", signed=True) for i in range(SLOTS // BAND)]
 
 
-def near_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): (doc_id, rep) of every row with an id, and (a, b, jaccard) of class representatives alike enough.
+def _links(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """A forest of the links between two blocks of a cluster: pairs that share a band and are alike enough."""
+    pdf = pdf.drop_duplicates(["node", "side"]).sort_values("node", kind="stable")
+    nodes, sides = pdf["node"].to_numpy(), pdf["side"].to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
+    sizes = np.array([len(x) for x in sets])
+    by_band: dict[int, list[int]] = {}
+    parent = np.arange(len(nodes))
+    one = len(set(sides.tolist())) == 1
 
-    A class holds the documents of one shingle set; its representative is the smallest id.
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = int(parent[i])
+        return i
+
+    out = []
+    for i, bands in enumerate(pdf["bands"]):
+        met = [np.array(by_band[b]) for b in bands if b in by_band]
+        for b in bands:
+            by_band.setdefault(b, []).append(i)
+        if not met:
+            continue
+        # earlier classes by the number of bands shared, the likeliest links first
+        others, shared = np.unique(np.concatenate(met), return_counts=True)
+        ok = (np.minimum(sizes[others], sizes[i]) >= threshold * np.maximum(sizes[others], sizes[i])) & (one | (sides[others] != sides[i]))
+        others = others[ok][np.argsort(-shared[ok], kind="stable")]
+        while len(others):
+            part, others = others[:AT_ONCE], others[AT_ONCE:]
+            flat = np.concatenate([sets[j] for j in part])
+            cuts = np.cumsum(sizes[part]) - sizes[part]
+            if sizes[i]:
+                hit = sets[i][np.minimum(np.searchsorted(sets[i], flat), sizes[i] - 1)] == flat
+                both = np.add.reduceat(hit, cuts) if len(flat) else np.zeros(len(part), int)
+                score = both / (sizes[part] + sizes[i] - both)
+            else:
+                score = np.ones(len(part))
+            for j in part[score >= threshold].tolist():
+                x, y = root(i), root(j)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((int(nodes[i]), int(nodes[j])))
+            mine = root(i)
+            others = np.array([j for j in others.tolist() if root(j) != mine], np.int64)
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(key, component_id) of the classes that hold several rows or have links; component_id is the smallest id of the linked classes.
+
+    A class holds the documents of one shingle set. Only classes that share a band with another are read again.
     """
     scratch = Scratch(docs.sparkSession)
+    plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
     def run(c: list[list]) -> list[list]:
-        hashes = [np.unique(shingle_hashes(t, SHINGLE, SEED)) for t in c[1]]
-        sigs = [signature(h) for h in hashes]
-        bands = [[int.from_bytes(hashlib.blake2b(bytes([i]) + s[i * BAND : (i + 1) * BAND].tobytes(), digest_size=8).digest(), "big", signed=True) for i in range(SLOTS // BAND)] for s in sigs]
-        return [c[0], [hashlib.sha256(h.tobytes()).hexdigest() for h in hashes], [h.view(np.int64).tolist() for h in hashes], bands]
-
-    rows = scratch.write(per_batch(docs.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")), run, "doc_id bigint, key string, hashes array<bigint>, bands array<bigint>"))
-    classes = scratch.write(rows.groupBy("key").agg(F.min("doc_id").alias("rep")))
-    members = rows.select("doc_id", "key").join(classes, "key").select("doc_id", "rep")
-    reps = rows.join(classes.select("rep"), rows["doc_id"] == F.col("rep"), "left_semi").dropDuplicates(["key"]).join(classes, "key").select("rep", "hashes", "bands")
-    keys = reps.select("rep", F.explode("bands").alias("band"))
-    sizes = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    small, large = sizes.where(F.col("n") <= HOT).select("band"), sizes.where(F.col("n") > HOT)
-    left = keys.join(small, "band")
-    pairs = left.join(left.select("band", F.col("rep").alias("other")), "band").where("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b")).distinct()
-    sets = reps.select("rep", "hashes")
-    cold = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    total = F.size("x") + F.size("y") - both
-    cold = cold.select("a", "b", F.when(total == 0, F.lit(1.0)).otherwise(both / total).alias("jaccard")).where(F.col("jaccard") >= threshold)
+        hashes = [np.unique(shingle_hashes(t, SHINGLE, SEED)) for t in c[2]]
+        return [c[0], c[1], [class_key(h) for h in hashes], [len(h) for h in hashes], [band_hashes(signature(h)) for h in hashes]]
+
+    rows = per_batch(plain.select("doc_id", F.xxhash64("text"), "text"), run, "doc_id bigint, mark bigint, key binary, size bigint, bands array<bigint>")
+    rep = F.struct(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark")
+    # written once, so that a node's number is its own for good
+    classes = scratch.write(rows.groupBy("key").agg(F.min(rep).alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    # of each band that several classes share, its members beside the first of them
+    over = Window.partitionBy("band")
+    met = classes.select("node", F.explode("bands").alias("band")).select("node", F.min("node").over(over).alias("first"), F.count(F.lit(1)).over(over).alias("n")).where("n > 1").select("node", "first").distinct()
+    stars = scratch.write(met)
+    clusters = scratch.write(connected_components(stars.select(F.col("first").alias("a"), F.col("node").alias("b")), scratch).withColumnRenamed("component", "cluster"))
+    members = clusters.join(classes, "node").select("node", "cluster", "rep", "size", "bands")
+    totals = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") * 8 / SET_BYTES)).cast("int").alias("blocks"))
+    wanted = members.join(totals, "cluster").select("node", "cluster", "blocks", "bands", "rep.*")
+    # one row of each wanted class; repeated rows of it are dropped by node where the sets meet
+    found = plain.select(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("mark"), "text").join(wanted, ["late", "id", "mark"])
+    one = found.groupBy("node").agg(F.any_value("cluster").alias("cluster"), F.any_value("blocks").alias("blocks"), F.any_value("bands").alias("bands"), F.any_value("text").alias("text"))
+    sets = per_batch(one.select("node", "cluster", "blocks", "bands", "text"), lambda c: [*c[:4], [np.unique(shingle_hashes(t, SHINGLE, SEED)).tobytes() for t in c[4]]], "node bigint, cluster bigint, blocks int, bands array<bigint>, hashes binary")
     dealt = (
-        keys.join(large, "band")
-        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        sets.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep")
+        .select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "node", "bands", "hashes")
     )
-    hot = dealt.join(sets, "rep").groupBy("band", "i", "j").applyInPandas(lambda pdf: _verified(pdf, threshold), "a bigint, b bigint, jaccard double")
-    return members, cold.unionByName(hot).dropDuplicates(["a", "b"])
+    links = scratch.write(dealt.groupBy("cluster", "i", "j").applyInPandas(lambda pdf: _links(pdf, threshold), "a bigint, b bigint"))
+    parts = connected_components(links, scratch)
+    marked = classes.select("node", "key", "copies", "rep").join(parts, "node", "left").where("component IS NOT NULL OR copies > 1").select("key", F.coalesce("component", "node").alias("component"), "rep")
+    least = marked.groupBy("component").agg(F.min("rep").alias("rep"))
+    return scratch.write(marked.select("key", "component").join(least, "component").select("key", F.when(~F.col("rep.late"), F.col("rep.id")).alias("component_id")))

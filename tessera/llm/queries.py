@@ -73,7 +73,7 @@ def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import minhash
 
-    return minhash.against_neighbours(_table(spark, sf_dir, "documents"))
+    return minhash.fingerprinted(_table(spark, sf_dir, "documents"))
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
