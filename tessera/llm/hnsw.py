@@ -1,15 +1,20 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one per shard.
 
-Equal vectors are collapsed, then dealt by hash into shards. A task builds the graph of its shard, widens the search
-beam until an audit of some of its vectors against brute force finds their links, and streams every vector of the table
-past it: each query enters at the top level, and its beam is widened while it is full of links. Cosines are verified in
-double precision; links join into components.
+Equal vectors are collapsed, then dealt by hash into shards. A task builds the graph of its shard, audits it, and streams
+every vector of the table past it: each query enters at the top level, and its beam is widened while it is full of links.
+Cosines are verified in double precision; links join into components, from a spanning forest of each task's links.
+
+The audit compares a shard's answers with brute force, for some of its own vectors and for some of the whole table's, and widens the
+search beam until RECALL of their links are found. A vector's match with itself is no link. Own vectors are drawn until
+LINKS true links are at hand, or all are drawn. The figures of all shards are returned.
 
 A task holds one shard and a batch of queries at a time; shards hold about SHARD_ROWS vectors whatever the table's
 size, and no fewer than SHARDS are made. A group of equal vectors is one node, of any size.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do rows with a null id;
-vectors of different length never link. Rows that share an id count as vectors of their own.
+vectors of different length never link. Rows that share an id count as vectors of their own. A cosine of exactly the
+threshold (a tie) is a link. An empty table gives no rows. Only the id and the vector are read: other columns clash with
+nothing.
 """
 
 from __future__ import annotations
@@ -27,8 +32,8 @@ THRESHOLD = 0.9
 #: Neighbours of a node above and on the ground level, later nodes it leads to for good, beam while building, first beam of the search.
 DEGREE, GROUND, CHILDREN, BUILD_BEAM, BEAM = 12, 24, 6, 32, 24
 SHARD_ROWS, SHARDS = 100_000, 6
-#: Vectors of a shard whose links are audited, and the share of links that must be found.
-AUDITED, RECALL = 200, 0.995
+#: Vectors drawn at a time for an audit, vectors of the whole table that every shard is asked, true links that an audit needs, and the share of them that must be found.
+AUDITED, FOREIGN, LINKS, RECALL = 200, 400, 400, 0.995
 #: Queries and insertions at a time, and nodes that a beam expands at a time.
 BATCH, STEP = 256, 3
 
@@ -185,19 +190,55 @@ class Graph:
             who, start, beam = who[full], ids[full], 2 * beam
         return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
-    def audit(self, threshold: float) -> None:
-        """Widens the beam until the audited vectors' links are found."""
+    def audit(self, nodes: np.ndarray, foreign: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[int, int]:
+        """Widens the beam until the audited vectors' links are found: (links by brute force, links found)."""
         n = len(self.x)
-        picked = np.unique(np.linspace(0, n - 1, min(n, AUDITED)).astype(int)) if n else np.empty(0, int)
-        q = self.x[picked]
-        want = int((q @ self.x.T >= threshold).sum())
-        while self.beam < n:
-            found = sum(len(self.near(q[at : at + BATCH], threshold)[0]) for at in range(0, len(q), BATCH))
-            if found >= RECALL * want:
-                return
+
+        def links(ids: np.ndarray, q: np.ndarray) -> int:
+            return sum(int(((q[at : at + BATCH] @ self.x.T >= threshold) & (ids[at : at + BATCH, None] != nodes)).sum()) for at in range(0, len(q), BATCH))
+
+        ids, q = foreign
+        want, drawn = links(ids, q), 0
+        own = np.random.default_rng(n).permutation(n)
+        while drawn < n and want < LINKS:
+            some = own[drawn : drawn + AUDITED]
+            drawn += len(some)
+            want += links(nodes[some], self.x[some])
+            ids, q = np.concatenate([ids, nodes[some]]), np.concatenate([q, self.x[some]])
+        while True:
+            found = 0
+            for at in range(0, len(q), BATCH):
+                i, j = self.near(q[at : at + BATCH], threshold)
+                sure = (ids[at : at + BATCH][i] != nodes[j]) & (np.einsum("ed,ed->e", q[at : at + BATCH][i], self.x[j]) >= threshold)
+                found += int(sure.sum())
+            # a beam as wide as the shard is brute force itself
+            if found >= RECALL * want or self.beam >= n:
+                return want, found
             self.beam *= 2
 
 
+class _Forest:
+    """Tells which links of a task connect what was not connected before."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    def new(self, a: list[int], b: list[int]) -> list[bool]:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = self.root(x), self.root(y)
+            self.parent[max(x, y)] = min(x, y)
+            out.append(x != y)
+        return out
+
+
 def _matrix(column: pa.ListArray) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
@@ -210,13 +251,18 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def links(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) of the linked nodes of ``distinct`` (node: long, v: array<double>, valid and without repeats), both ways."""
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """(a, b, joins, want, found) of the linked nodes of ``distinct`` (node: long, v: array<double>, valid and without repeats), both ways.
+
+    Links whose ``joins`` is true connect what all links connect. Rows without a node hold a shard's audit. A link
+    that two shards' tasks find from both ends comes twice.
+    """
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("joins", pa.bool_()), ("want", pa.int64()), ("found", pa.int64())])
     sizes = distinct.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()
     spark = distinct.sparkSession
+    schema = "a long, b long, joins boolean, want long, found long"
     shards = {r.d: max(SHARDS, -(-r.n // SHARD_ROWS)) for r in sizes}
     if not shards:
-        return spark.createDataFrame([], "a long, b long")
+        return spark.createDataFrame([], schema)
     # shards of each length of vector are numbered on from those of the lengths before
     first, total = {}, 0
     for d in sorted(shards):
@@ -224,10 +270,15 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     table = F.broadcast(spark.createDataFrame([(d, first[d], shards[d]) for d in sorted(shards)], "d int, first int, shards int"))
     rows = distinct.withColumn("d", F.size("v")).join(table, "d")
     members = rows.select((F.col("first") + F.pmod(F.xxhash64("node"), F.col("shards"))).cast("int").alias("shard"), F.lit(0).alias("role"), "node", "v")
-    asked = rows.select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("shards") - 1)).alias("shard"), F.lit(1).alias("role"), "node", "v")
+    every = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("shards") - 1)).alias("shard")
+    asked = rows.select(every, F.lit(2).alias("role"), "node", "v")
+    # FOREIGN vectors of each length, about: the nodes are hashes already
+    share = {r.d: min(1.0, FOREIGN / r.n) for r in sizes}
+    shares = F.broadcast(spark.createDataFrame([(d, int(share[d] * 1_000_000)) for d in sorted(share)], "d int, share int"))
+    audits = rows.join(shares, "d").where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1_000_000)) < F.col("share")).select(every, F.lit(1).alias("role"), "node", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, graph, nodes, parts = None, None, None, []
+        shard, graph, nodes, parts, audits, forest = None, None, None, [], [], None
         for batch in batches:
             keys, roles = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = [0, *(np.flatnonzero((np.diff(keys) != 0) | (np.diff(roles) != 0)) + 1).tolist(), len(keys)]
@@ -235,45 +286,51 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 if lo == hi:
                     continue
                 if keys[lo] != shard:
-                    shard, graph, nodes, parts = int(keys[lo]), None, None, []
+                    shard, graph, nodes, parts, audits, forest = int(keys[lo]), None, None, [], [], _Forest()
                 part = batch.slice(lo, hi - lo)
                 own = (part.column(2).to_numpy(), _matrix(part.column(3)))
-                if roles[lo] == 0:
-                    parts.append(own)
+                if roles[lo] < 2:
+                    (parts, audits)[roles[lo]].append(own)
                     continue
                 if not parts and graph is None:
                     continue  # a shard without members
                 if graph is None:
                     nodes, raw = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
                     graph, parts = Graph(_unit(raw)), []
-                    graph.audit(threshold)
+                    foreign = (np.concatenate([p[0] for p in audits]), _unit(np.concatenate([p[1] for p in audits]))) if audits else (nodes[:0], graph.x[:0])
+                    want, got = graph.audit(nodes, foreign, threshold)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((None, None, None, want, got), arrow, strict=True)], schema=arrow)
                 asked_nodes, queries = own[0], _unit(own[1])
                 for at in range(0, len(queries), BATCH):
                     i, j = graph.near(queries[at : at + BATCH], threshold)
                     a, b = asked_nodes[at : at + BATCH][i], nodes[j]
                     sure = (a != b) & (np.einsum("ed,ed->e", queries[at : at + BATCH][i], graph.x[j]) >= threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a[sure], b[sure]])), pa.array(np.concatenate([b[sure], a[sure]]))], schema=arrow)
+                    a, b = a[sure], b[sure]
+                    joins, n = np.array(forest.new(a.tolist(), b.tolist()), bool), 2 * len(a)
+                    none = pa.nulls(n, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b])), pa.array(np.concatenate([b, a])), pa.array(np.concatenate([joins, np.zeros(len(a), bool)])), none, none], schema=arrow)
 
-    dealt = members.unionByName(asked).repartition(4 * total, "shard").sortWithinPartitions("shard", "role")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return members.unionByName(audits).unionByName(asked).repartitionById(total, F.col("shard")).sortWithinPartitions("shard", "role").mapInArrow(run, schema)
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row."""
+    """(vec_id, n_links, component_id, kept) of every row, and the share of the audited links that the graphs found."""
     scratch = Scratch(vectors.sparkSession)
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast("array<double>").alias("v"))
     plain = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     valid = F.col("vec_id").isNotNull() & F.coalesce(plain, F.lit(False))
-    # 0.0 and -0.0 are one number, so that equal vectors are one group
-    good = rows.where(valid).select("vec_id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))
-    groups = scratch.write(good.groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")).select(F.xxhash64("v", "least").alias("node"), "v", "least", "copies"))
-    found = scratch.write(links(groups.select("node", "v"), threshold))
-    linked = found.join(groups.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
-    parts = connected_components(found.where("a < b"), scratch)
-    marked = groups.select("node", "least", "copies").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # 0.0 and -0.0 are one number, so that equal vectors are one group; 128 bits of hash stand for a vector, so that no join moves one
+    good = rows.where(valid).select("vec_id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")).select("vec_id", "v", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g"))
+    groups = scratch.write(good.groupBy("h", "g").agg(F.any_value("v").alias("v"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
+    every = scratch.write(links(groups.select("node", "v"), threshold))
+    found = every.where("a IS NOT NULL")
+    audit = every.agg(F.sum("want").alias("want"), F.sum("found").alias("found")).first()
+    recall = audit["found"] / audit["want"] if audit["want"] else 1.0
+    linked = found.select("a", "b").distinct().join(groups.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+    parts = connected_components(found.where("joins").select("a", "b"), scratch)
+    marked = groups.select("node", "h", "g", "least", "copies").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = marked.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = marked.join(least, "component").join(linked, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
-    by_vector = scratch.write(groups.select("node", "v").join(by_node, "node").select("v", "n_links", "component_id"))
-    done = good.join(by_vector, "v").select("vec_id", "n_links", "component_id")
+    by_vector = scratch.write(marked.join(least, "component").join(linked, "node", "left").select("h", "g", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id"))
+    done = good.select("vec_id", "h", "g").join(by_vector, ["h", "g"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~valid).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return done.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return done.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))).withColumn("audit_recall", F.lit(float(recall)))

@@ -29,11 +29,41 @@ def test_graph_recall():
     x = rng.normal(size=(3000, 32))
     x[:400] = x[0] + 0.2 * rng.normal(size=(400, 32)) * np.linalg.norm(x[0]) / 32**0.5
     x = hnsw._unit(rng.permutation(x))
-    g = hnsw.Graph(x)
-    g.audit(0.9)
-    got = sum(len(g.near(x[a : a + 256], 0.9)[0]) for a in range(0, len(x), 256))
-    want = int((x @ x.T >= 0.9).sum())
-    assert 0.98 * want <= got <= want
+    g, ids = hnsw.Graph(x), np.arange(len(x))
+    want, found = g.audit(ids, (ids[:0], x[:0]), 0.9)
+    assert want >= hnsw.LINKS and found >= hnsw.RECALL * want
+    pairs = [(i + a, j) for a in range(0, len(x), 256) for i, j in zip(*g.near(x[a : a + 256], 0.9), strict=True) if i + a != j]
+    every = int((x @ x.T >= 0.9).sum()) - len(x)
+    assert 0.98 * every <= len(pairs) <= every
+
+
+def test_audit_counts_no_vector_as_its_own_link():
+    """Few true links among many vectors: a graph that misses them must widen, however many vectors find themselves."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 24))
+    x[1490:] = x[:10] + 0.05 * rng.normal(size=(10, 24))
+    x = hnsw._unit(x)
+    g, ids = hnsw.Graph(x), np.arange(len(x))
+    g.links[0][:] = -1
+    g.beam = 4
+    want, found = g.audit(ids, (ids[:0], x[:0]), 0.9)
+    # every vector was drawn, the links are those of the ten pairs; without edges no beam finds them
+    assert want == 20 and found < 20 and g.beam >= len(x)
+    none = hnsw.Graph(hnsw._unit(rng.normal(size=(50, 24))))
+    assert none.audit(np.arange(50), (ids[:0], x[:0]), 0.9999) == (0, 0)
+    foreign = (np.array([7000]), none.x[:1] + 1e-9)
+    assert none.audit(np.arange(50), foreign, 0.9999) == (1, 1)
+
+
+def test_recall_of_the_query(spark):
+    """The registered query's links on the test table against all pairs."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    want = {i: (n, c) for i, n, c in brute(rows)}
+    got = hnsw.near_duplicates(df).collect()
+    assert sum(r.n_links for r in got) >= 0.9 * sum(n for n, _ in want.values())
+    assert all(r.n_links <= want[r.vec_id][0] for r in got) and {r.audit_recall for r in got} == {max(r.audit_recall for r in got)}
+    assert got[0].audit_recall >= 0.9 and np.mean([r.component_id == want[r.vec_id][1] for r in got]) >= 0.9
 
 
 def test_test_table(spark):
@@ -60,6 +90,6 @@ def test_edges(spark):
 def test_small_graphs(n):
     x = hnsw._unit(np.random.default_rng(n).normal(size=(n, 4)))
     g = hnsw.Graph(x)
-    g.audit(0.5)
+    g.audit(np.arange(n), (np.arange(0), x[:0]), 0.5)
     i, j = g.near(x, -1.0)
     assert {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == {(a, b) for a in range(n) for b in range(n)}

@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 COLUMNS = {
     "op1_mixing": ["doc_id", "n_tokens", "posterior", "rate", "copies", "residual", "domain"], "op2_html": ["page_id", "url", "text", "n_chars"], "op3_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op4_langid": ["doc_id", "held_out", "lang_pred", "score"], "op5_simhash": ["doc_id", "fingerprint", "component_id"], "op6_licenses": ["doc_id", "n_hits", "licenses", "best_license", "best_dice"],
-    "op7_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"], "op8_hnsw": ["vec_id", "n_links", "component_id", "kept"],
+    "op7_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"], "op8_hnsw": ["vec_id", "n_links", "component_id", "kept", "audit_recall"],
     "op9_minhash": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"], "op10_repeats": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
 }
 TABLES = {"op2_html": ("pages", "page_id"), "op8_hnsw": ("embeddings", "vec_id")}
