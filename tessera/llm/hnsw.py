@@ -33,7 +33,7 @@ THRESHOLD = 0.9
 DEGREE, GROUND, CHILDREN, BUILD_BEAM, BEAM = 12, 24, 6, 32, 24
 SHARD_ROWS, SHARDS = 100_000, 6
 #: Vectors drawn at a time for an audit, vectors of the whole table that every shard is asked, true links that an audit needs, and the share of them that must be found.
-AUDITED, FOREIGN, LINKS, RECALL = 200, 400, 400, 0.995
+AUDITED, FOREIGN, LINKS, RECALL = 200, 200, 200, 0.97
 #: Queries and insertions at a time, and nodes that a beam expands at a time.
 BATCH, STEP = 256, 3
 
@@ -194,17 +194,25 @@ class Graph:
         """Widens the beam until the audited vectors' links are found: (links by brute force, links found)."""
         n = len(self.x)
 
-        def links(ids: np.ndarray, q: np.ndarray) -> int:
-            return sum(int(((q[at : at + BATCH] @ self.x.T >= threshold) & (ids[at : at + BATCH, None] != nodes)).sum()) for at in range(0, len(q), BATCH))
+        def linked(ids: np.ndarray, q: np.ndarray) -> np.ndarray:
+            """The number of true links of each vector."""
+            counts = [((q[at : at + BATCH] @ self.x.T >= threshold) & (ids[at : at + BATCH, None] != nodes)).sum(axis=1) for at in range(0, len(q), BATCH)]
+            return np.concatenate(counts) if counts else np.empty(0, int)
 
-        ids, q = foreign
-        want, drawn = links(ids, q), 0
         own = np.random.default_rng(n).permutation(n)
-        while drawn < n and want < LINKS:
-            some = own[drawn : drawn + AUDITED]
-            drawn += len(some)
-            want += links(nodes[some], self.x[some])
-            ids, q = np.concatenate([ids, nodes[some]]), np.concatenate([q, self.x[some]])
+        drawn, want, asked = 0, 0, []
+        some = foreign
+        while True:
+            counts = linked(*some)
+            want += int(counts.sum())
+            # a vector without a link has none to be missed
+            asked.append((some[0][counts > 0], some[1][counts > 0]))
+            if drawn >= n or (drawn and want >= LINKS):
+                break
+            part = own[drawn : drawn + AUDITED]
+            drawn += len(part)
+            some = (nodes[part], self.x[part])
+        ids, q = np.concatenate([a[0] for a in asked]), np.concatenate([a[1] for a in asked])
         while True:
             found = 0
             for at in range(0, len(q), BATCH):
