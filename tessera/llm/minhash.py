@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,7 +156,7 @@ def against_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     One shuffle, by ranges of doc_id; a task reads the rows of its range in order and holds two of them at a time.
     Rows that share an id follow each other by a hash of their text; a table of one row has itself for its next document.
     """
-    schema = T._parse_datatype_string("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, key binary")
+    schema = T._parse_datatype_string("doc_id bigint, n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, key binary")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +170,7 @@ def against_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                         _, _, i, _, own, sig, key = held
                         change = edited(own, now[4])
                         other = sig if change == own else text_signature(change)
-                        out.append((i, len(own), hashlib.sha256(change.encode()).hexdigest(), packed(sig), packed(other), likeness(sig, other), likeness(sig, now[5]), key))
+                        out.append((i, len(own), hashlib.sha256(change.encode()).digest(), packed(sig), packed(other), likeness(sig, other), likeness(sig, now[5]), key))
                     held = now
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
@@ -185,7 +186,7 @@ def fingerprinted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     found = against_neighbours(docs, doc_id, text)
     near = near_components(docs, doc_id, text)
     # only classes of several documents or with links have a row there; the join is broadcast if they are few
-    spelled = [F.lower(F.hex(c)).alias(c) if c in ("fingerprint", "edited_fingerprint") else F.col(c) for c in found.columns if c != "key"]
+    spelled = [F.lower(F.hex(c)).alias(c) if c in ("edited_sha256", "fingerprint", "edited_fingerprint") else F.col(c) for c in found.columns if c != "key"]
     return found.join(near, "key", "left").select(*spelled, F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -196,11 +197,32 @@ def band_hashes(sig: np.ndarray) -> list[int]:
     return [int.from_bytes(hashlib.blake2b(bytes([i]) + sig[i * BAND : (i + 1) * BAND].tobytes(), digest_size=8).digest(), "big", signed=True) for i in range(SLOTS // BAND)]
 
 
+def _once(texts: DataFrame) -> DataFrame:
+    """Texts packed for the shuffle; a task passes a node on once, so that repeated rows cost a row for each task."""
+    schema = T._parse_datatype_string("node bigint, cluster bigint, blocks int, bands array<bigint>, packed binary")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, pack = set(), zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            fresh = []
+            for i, node in enumerate(batch.column(0).to_pylist()):
+                if node not in seen:
+                    seen.add(node)
+                    fresh.append(i)
+            some = batch.take(pa.array(fresh, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(some.column(c).cast(arrow.field(c).type) for c in range(4)), pa.array([pack(t.encode()) for t in some.column(4).to_pylist()], pa.binary())], schema=arrow)
+
+    small_batches(texts.sparkSession)
+    return texts.mapInArrow(run, schema)
+
+
 def _links(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """A forest of the links between two blocks of a cluster: pairs that share a band and are alike enough."""
     pdf = pdf.drop_duplicates(["node", "side"]).sort_values("node", kind="stable")
     nodes, sides = pdf["node"].to_numpy(), pdf["side"].to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
+    unpack = zstandard.ZstdDecompressor().decompress
+    sets = [np.unique(shingle_hashes(unpack(x).decode(), SHINGLE, SEED)) for x in pdf["packed"]]
     sizes = np.array([len(x) for x in sets])
     by_band: dict[int, list[int]] = {}
     parent = np.arange(len(nodes))
@@ -267,14 +289,12 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = clusters.join(classes, "node").select("node", "cluster", "rep", "size", "bands")
     totals = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") * 8 / SET_BYTES)).cast("int").alias("blocks"))
     wanted = members.join(totals, "cluster").select("node", "cluster", "blocks", "bands", "rep.*")
-    # one row of each wanted class; repeated rows of it are dropped by node where the sets meet
     found = plain.select(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("mark"), "text").join(wanted, ["late", "id", "mark"])
-    one = found.groupBy("node").agg(F.any_value("cluster").alias("cluster"), F.any_value("blocks").alias("blocks"), F.any_value("bands").alias("bands"), F.any_value("text").alias("text"))
-    sets = per_batch(one.select("node", "cluster", "blocks", "bands", "text"), lambda c: [*c[:4], [np.unique(shingle_hashes(t, SHINGLE, SEED)).tobytes() for t in c[4]]], "node bigint, cluster bigint, blocks int, bands array<bigint>, hashes binary")
+    texts = _once(found.select("node", "cluster", "blocks", "bands", "text"))
     dealt = (
-        sets.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        texts.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "node", "bands", "hashes")
+        .select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "node", "bands", "packed")
     )
     links = scratch.write(dealt.groupBy("cluster", "i", "j").applyInPandas(lambda pdf: _links(pdf, threshold), "a bigint, b bigint"))
     parts = connected_components(links, scratch)
