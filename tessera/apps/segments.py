@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,47 +60,45 @@ def beats_others(df: DataFrame, segment: list[str], song: str, score: str, margi
     return marked.where(other.isNull() | (F.col(score) - other >= margin - 1e-9)).drop("_best", "_rank", "_first", "_second")
 
 
-def _chains(pdf: pd.DataFrame, s: Settings) -> pd.DataFrame:
-    """Chains of one query and song: hits of following segments at a steady offset, then those long enough that don't overlap a better one."""
-    live: list[list] = []
-    done: list[list] = []
-    for index, hits in pdf.sort_values(["segment_index", "reference_start_s", "score"]).groupby("segment_index", sort=True):
-        done += [c for c in live if index - c[-1].segment_index > s.max_gap + 1]
-        live = [c for c in live if index - c[-1].segment_index <= s.max_gap + 1]
-        free = list(hits.itertuples(index=False))
-        offset = lambda h: h.reference_start_s - h.query_start_s
-        for c in live:
-            near = [(abs(offset(h) - offset(c[-1])), -h.score, i) for i, h in enumerate(free)]
-            near = [x for x in near if x[0] <= s.offset_tolerance_s + 1e-9]
-            if near:
-                c.append(free.pop(min(near)[2]))
-        live += [[h] for h in free]
-    rows = []
-    for c in done + live:
-        if len(c) >= s.min_segments:
-            scores = [h.score for h in c]
-            rows.append((c[0].query_id, c[0].song_id, c[0].query_start_s, c[-1].query_end_s, min(h.reference_start_s for h in c), max(h.reference_end_s for h in c), sum(scores) / len(scores), max(scores), len(c), c[0].segment_index))
-    rows.sort(key=lambda r: (-r[8], -r[6], r[9]))
-    kept: list[tuple] = []
-    for r in rows:
-        if not any(r[2] < k[3] and k[2] < r[3] for k in kept):
-            kept.append(r)
-    out = pd.DataFrame(kept, columns=["query_id", "song_id", "query_start_s", "query_end_s", "reference_start_s", "reference_end_s", "similarity", "max_similarity", "segments", "_i"]).drop(columns="_i")
-    out["similarity_pct"], out["max_similarity_pct"] = (100 * out.pop("similarity").astype(float)).round(1), (100 * out.pop("max_similarity").astype(float)).round(1)
-    return out
+def _apart(chains: Column) -> Column:
+    """Of chains in order of preference, those that share no stretch of the query with one kept before."""
+
+    def clear(kept: Column, c: Column) -> Column:
+        return ~F.exists(kept, lambda k: (k["query_start_s"] < c["query_end_s"]) & (c["query_start_s"] < k["query_end_s"]))
+
+    none = F.filter(chains, lambda c: F.lit(False))
+    return F.aggregate(chains, none, lambda kept, c: F.when(clear(kept, c), F.concat(kept, F.array(c))).otherwise(kept))
 
 
 def detect(candidates: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Matches of queries with songs.
 
     ``candidates``: query_id, segment_index, query_start_s, query_end_s, song_id, reference_start_s, reference_end_s, score.
+
+    The hits of a query and a song are cut into diagonals, runs of offsets (reference less query) without a step above the
+    tolerance; a diagonal has one hit a segment, the best. Its runs of segments without too wide a gap are the chains. Of
+    those that overlap in the query, the one with more segments stays, then the more similar, then the earlier.
     """
     s = settings or Settings()
+    pair = ["query_id", "song_id"]
     cols = ["query_id", "segment_index", "query_start_s", "query_end_s", "song_id", "reference_start_s", "reference_end_s", "score"]
     hits = beats_others(candidates.select(*cols), ["query_id", "segment_index"], "song_id", "score", s.margin).where(F.col("score") >= s.threshold)
-    types = {f.name: f.dataType.simpleString() for f in candidates.schema}
-    schema = f"query_id {types['query_id']}, song_id {types['song_id']}, query_start_s double, query_end_s double, reference_start_s double, reference_end_s double, segments int, similarity_pct double, max_similarity_pct double"
-    return hits.groupBy("query_id", "song_id").applyInPandas(lambda pdf: _chains(pdf, s)[["query_id", "song_id", "query_start_s", "query_end_s", "reference_start_s", "reference_end_s", "segments", "similarity_pct", "max_similarity_pct"]], schema)
+    by_offset = Window.partitionBy(*pair).orderBy("offset", "segment_index")
+    step = F.col("offset") - F.lag("offset").over(by_offset)
+    diagonals = hits.withColumn("offset", F.col("reference_start_s") - F.col("query_start_s")).withColumn("step", step).withColumn("diagonal", F.count(F.when(F.col("step") > s.offset_tolerance_s + 1e-9, 1)).over(by_offset))
+    best = diagonals.groupBy(*pair, "diagonal", "segment_index").agg(F.max_by(F.struct(*cols[2:4], *cols[5:]), F.struct("score", -F.col("reference_start_s"))).alias("h")).select(*pair, "diagonal", "segment_index", "h.*")
+    by_segment = Window.partitionBy(*pair, "diagonal").orderBy("segment_index")
+    gap = F.col("segment_index") - F.lag("segment_index").over(by_segment)
+    runs = best.withColumn("gap", gap).withColumn("run", F.count(F.when(F.col("gap") > s.max_gap + 1, 1)).over(by_segment))
+    chains = runs.groupBy(*pair, "diagonal", "run").agg(
+        (-F.count(F.lit(1))).alias("fewer"), (-F.avg("score")).alias("less"), F.min("segment_index").alias("first"),
+        F.min("query_start_s").cast("double").alias("query_start_s"), F.max("query_end_s").cast("double").alias("query_end_s"), F.min("reference_start_s").cast("double").alias("reference_start_s"), F.max("reference_end_s").cast("double").alias("reference_end_s"), F.max("score").alias("top"),
+    ).where(F.col("fewer") <= -s.min_segments)
+    fields = ["fewer", "less", "first", "query_start_s", "query_end_s", "reference_start_s", "reference_end_s", "top"]
+    # the chains of one query and song: no more than the query has segments, for each diagonal
+    kept = chains.groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("chains")).select(*pair, F.explode(_apart(F.col("chains"))).alias("c"))
+    times = [F.col(f"c.{n}") for n in fields[3:7]]
+    return kept.select(*pair, *times, (-F.col("c.fewer")).cast("int").alias("segments"), F.round(-100 * F.col("c.less"), 1).cast("double").alias("similarity_pct"), F.round(100 * F.col("c.top"), 1).cast("double").alias("max_similarity_pct"))
 
 
 def timeline(candidates: DataFrame, settings: Settings | None = None) -> DataFrame:

@@ -1,13 +1,15 @@
 """Text as Column expressions: tokens, term frequencies, BM25 and TF-IDF weights.
 
-Tokens are runs of letters and digits of the lower-cased text without accents. Accents are taken off by ``translate``
-with a table made from the Unicode decompositions of Latin letters, inside generated code; ``exact`` tokens use the full
-compatibility decomposition in an Arrow-batched function, for scripts beyond that table.
+Tokens are runs of letters and digits of the lower-cased text without accents: compatibility decomposition, marks
+dropped. Documents and queries go by this one rule. In documents ``translate`` applies it inside generated code, with a
+table of every character that decomposes to one; a text with any other decomposable character (ligatures,
+Hangul, ...) goes through the whole decomposition in an Arrow-batched function, which gets nulls for all other texts.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Sequence
 from functools import cache
@@ -21,21 +23,32 @@ from pyspark.sql import types as T
 K1, B = 1.2, 0.75
 
 
+def _plain(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
 @cache
-def _accents() -> tuple[str, str]:
-    """Letters of Latin-1 to Latin Extended-B that decompose to one plain letter and marks; marks alone go."""
-    plain = {}
-    for c in map(chr, range(0xAA, 0x250)):
-        d = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if d != c and len(d) == 1 and d.isalnum():
-            plain[c] = d
-    marks = "".join(chr(i) for i in range(0x300, 0x370) if unicodedata.combining(chr(i)))
-    return "".join(plain) + marks, "".join(plain.values())
+def _accents() -> tuple[str, str, str]:
+    """(characters, what they become, a pattern of all others that decompose); marks become nothing."""
+    single, marks, others = {}, [], []
+    for code in range(0x80, sys.maxunicode + 1):
+        c = chr(code)
+        if 0xD800 <= code < 0xE000 or (p := _plain(c)) == c:
+            continue
+        if code > 0xFFFF or len(p) > 1 or (p and ord(p) > 0xFFFF):
+            others.append(code)
+        elif p:
+            single[c] = p
+        else:
+            marks.append(c)
+    cuts = [0, *(i for i in range(1, len(others)) if others[i] != others[i - 1] + 1), len(others)]
+    ranges = "".join(f"\\x{{{others[a]:x}}}-\\x{{{others[b - 1]:x}}}" for a, b in zip(cuts, cuts[1:], strict=False))
+    return "".join(single) + "".join(marks), "".join(single.values()), f"[{ranges}]"
 
 
 def normalize(text: str | None) -> str:
     """The driver's side of the same rule, for queries and stop words."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c)).lower()
+    return _plain(text or "").lower()
 
 
 def tokenize(text: str | None, stopwords: Sequence[str] = ()) -> list[str]:
@@ -61,7 +74,10 @@ def tokens(text: Column | str, stop: Sequence[str] = (), exact: bool = False) ->
     if exact:
         out = _exact_tokens(col)
     else:
-        out = F.regexp_extract_all(F.lower(F.translate(col, *_accents())), F.lit(r"([\p{L}\p{N}]+)"))
+        known, plain, others = _accents()
+        whole = col.rlike(others)
+        fast = F.regexp_extract_all(F.lower(F.translate(col, known, plain)), F.lit(r"([\p{L}\p{N}]+)"))
+        out = F.when(whole, _exact_tokens(F.when(whole, col))).otherwise(fast)
     if stop:
         drop = sorted({w for s in stop for w in tokenize(s)})
         out = F.filter(out, lambda t: ~t.isin(drop))

@@ -14,6 +14,8 @@ _temporary: list[str] = []
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder's path under spark.checkpoint.dir, or under a temporary one where that is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not root and not _temporary:
         _temporary.append(tempfile.mkdtemp(prefix="tessera-"))
     return f"{(root or _temporary[0]).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -5,6 +5,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera import queries
@@ -44,11 +46,31 @@ def test_tokens(spark):
     for r in rows:
         want = None if r.t is None else tx.tokenize(r.t)
         assert r.full == want
-        if r.t and "ﬁ" not in r.t:
-            assert r.fast == want and r.fewer == [w for w in want if w != "dos"]
+        assert r.fast == want and r.fewer == (None if want is None else [w for w in want if w != "dos"])
     assert len(tx.stopwords(spark, "spanish")) > 300
 
 
+SCRIPTS = ["мой дом Йод", "tiếng Việt Đường", "ﬁle ﬂow ﬀ", "ώρα ΏΡΑ ὥρα", "한국어 문서", "हिन्दी", "日本語 ｶﾞ ㎏ ①", "ǅ Ǆ ĳ ŉ", "𝐁old 𝟙", "İstanbul ẞ ſ", "e\u0301te\u0301 a\u0323\u0302", "Ω ℃ ½ x²", "ᾳ ΐ"]
+
+
+def test_tokens_of_all_scripts(spark):
+    df = spark.createDataFrame(list(enumerate(SCRIPTS)), "id int, t string")
+    for r in df.select("t", tx.tokens("t").alias("got")).collect():
+        assert r.got == tx.tokenize(r.t), r.t
+    for i, word in [(0, "мой"), (0, "МОЙ"), (0, "йод"), (1, "tiếng"), (1, "viet"), (2, "file"), (2, "ﬁle"), (3, "ώρα"), (4, "한국어"), (6, "ガ"), (8, "bold"), (9, "istanbul"), (10, "été"), (10, "ậ")]:
+        assert [x.id for x in search.match(df, "t", word).collect()] == [i], word
+        assert [x.id for x in search.bm25(df, "t", word).where("score > 0").collect()] == [i], word
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text(max_size=30), min_size=1, max_size=40))
+def test_tokens_of_any_text(spark, texts):
+    texts = [t for t in texts if "\0" not in t]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", tx.tokens("t").alias("got")).collect():
+        assert r.got == tx.tokenize(r.t), repr(r.t)
+
+
 def test_index_changes(spark, tmp_path):
     df = spark.createDataFrame(DOCS, "id int, t string")
     index = search.TextIndex.build(df.where("id < 3"), "id", "t", str(tmp_path / "i"))
@@ -224,3 +246,28 @@ def test_knn_join_blocks(spark, monkeypatch):
     for r in knn.knn_join(df, df, "id", "id", "v", 3, "euclidean").collect():
         got.setdefault(r.query, set()).add(r.neighbour)
     assert got == {i: set(np.argsort(d[i], kind="stable")[:3].tolist()) for i in range(200)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_radius_boxes_hold_the_circle(seed):
+    rng = random.Random(seed)
+    for _ in range(300):
+        lon, lat = rng.uniform(-180, 180), rng.choice([rng.uniform(-90, 90), rng.uniform(88, 90), -90.0, 0.0])
+        radius = rng.choice([0.0, 10 ** rng.uniform(0, 7.4)])
+        boxes = sx.radius_boxes(lon, lat, radius)
+        assert all(-180 <= w <= e <= 180 and -90 <= s <= n <= 90 for w, s, e, n in boxes)
+        angle, d = rng.uniform(0, 2 * math.pi), radius / sx.EARTH_RADIUS_M * rng.random()
+        # a point at a smaller distance, by the direct formula on the sphere
+        f, g = math.radians(lat), math.radians(lon)
+        y = math.asin(max(-1, min(1, math.sin(f) * math.cos(d) + math.cos(f) * math.sin(d) * math.cos(angle))))
+        x = g + math.atan2(math.sin(angle) * math.sin(d) * math.cos(f), math.cos(d) - math.sin(f) * math.sin(y))
+        px, py = (math.degrees(x) + 180) % 360 - 180, math.degrees(y)
+        assert any(w - 1e-7 <= px <= e + 1e-7 and s - 1e-7 <= py <= n + 1e-7 for w, s, e, n in boxes), (lon, lat, radius)
+    assert sx.radius_boxes(0, 0, math.inf) == sx.radius_boxes(5, 5, -1.0) == [(-180.0, -90.0, 180.0, 90.0)]
+    assert sx.radius_boxes(179, 0, 2, "EUCLIDEAN") == [(177, -2, 180.0, 2)]
+
+
+def test_of_overlapping_chains_the_longer_stays(spark):
+    rows = [(i, 7, i + 3, 0.9) for i in range(1, 6)] + [(i, 7, i + 20, 0.95) for i in range(4, 7)] + [(i, 7, i + 40, 0.8) for i in range(9, 11)]
+    got = {(r.query_start_s, r.segments, r.similarity_pct) for r in segments.detect(candidates(spark, rows)).collect()}
+    assert got == {(2.5, 5, 90.0), (22.5, 2, 80.0)}
