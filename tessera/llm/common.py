@@ -55,6 +55,15 @@ class Scratch:
             p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
+    def only(self, df: DataFrame) -> DataFrame:
+        """Drops every table written here but ``df``, which must have been written here itself."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        system = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for found in system.listStatus(root):
+            if found.getPath().getName() != df._scratch.rsplit("/", 1)[1]:
+                system.delete(found.getPath(), True)
+        return df
+
 
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batch size to SLICE_ROWS: texts are long, and both sides hold whole batches outside the heap."""

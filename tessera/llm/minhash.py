@@ -300,4 +300,4 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = connected_components(links, scratch)
     marked = classes.select("node", "key", "copies", "rep").join(parts, "node", "left").where("component IS NOT NULL OR copies > 1").select("key", F.coalesce("component", "node").alias("component"), "rep")
     least = marked.groupBy("component").agg(F.min("rep").alias("rep"))
-    return scratch.write(marked.select("key", "component").join(least, "component").select("key", F.when(~F.col("rep.late"), F.col("rep.id")).alias("component_id")))
+    return scratch.only(scratch.write(marked.select("key", "component").join(least, "component").select("key", F.when(~F.col("rep.late"), F.col("rep.id")).alias("component_id"))))
