@@ -145,6 +145,17 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
+def untouched(text: str) -> int:
+    """Leading shingles that an edit of the text leaves: those of the whole words before its second half."""
+    return max(0, len(text[: len(text) - len(text) // 2].encode().split()) - SHINGLE)
+
+
+def edited_signature(change: str, same: int, first: np.ndarray) -> np.ndarray:
+    """The signature of an edited text whose ``same`` leading shingles have the signature ``first``."""
+    rest = change.encode().split(None, same)[same].decode() if same else change
+    return np.minimum(first, text_signature(rest))
+
+
 def class_key(hashes: np.ndarray) -> bytes:
     """What equal shingle sets share."""
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
@@ -164,12 +175,13 @@ def against_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 for r in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
-                    hashes = np.unique(shingle_hashes(r[4], SHINGLE, SEED))
-                    now = (*r, signature(hashes), class_key(hashes))
+                    hashes, same = shingle_hashes(r[4], SHINGLE, SEED), untouched(r[4])
+                    first = signature(np.unique(hashes[:same]))
+                    now = (*r, np.minimum(first, signature(np.unique(hashes[same:]))), class_key(np.unique(hashes)), same, first)
                     if held is not None and held[0] == now[0] and not held[1]:
-                        _, _, i, _, own, sig, key = held
+                        _, _, i, _, own, sig, key, same, first = held
                         change = edited(own, now[4])
-                        other = sig if change == own else text_signature(change)
+                        other = sig if change == own else edited_signature(change, same, first)
                         out.append((i, len(own), hashlib.sha256(change.encode()).digest(), packed(sig), packed(other), likeness(sig, other), likeness(sig, now[5]), key))
                     held = now
                 if out:

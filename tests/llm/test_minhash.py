@@ -46,6 +46,14 @@ def test_fingerprint_is_the_plain_one():
         assert minhash.spell(minhash.text_signature(t)) == slow_fingerprint(t)
 
 
+def test_edited_signature_is_the_whole_texts():
+    texts = ["", "a", "a b", " a  b c d e f g h ", "a b c d e f g h i j k", "x" * 50, words(6, 40), words(7, 41) + "é" * 30, "q r s t u v w" + " " * 40, " " * 9 + "A b  C d e f\tg h i j\nk l", "a b c d e f g h i j k l m n" * 9]
+    for own, after in itertools.product(texts, texts):
+        hashes, same = minhash.shingle_hashes(own, minhash.SHINGLE, minhash.SEED), minhash.untouched(own)
+        change = minhash.edited(own, after)
+        assert np.array_equal(minhash.edited_signature(change, same, minhash.signature(hashes[:same])), minhash.text_signature(change))
+
+
 @pytest.mark.parametrize("size", [1 << 25, 3000, 40])
 def test_against_neighbours(spark, monkeypatch, size):
     monkeypatch.setattr(minhash, "RANGE_BYTES", size)
