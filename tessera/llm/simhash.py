@@ -11,6 +11,7 @@ Equal fingerprints are collapsed before the search, so a group of copies of any
 fingerprint is its own key; probes are the keys of its ball. A key at which more than HOT homes meet, or at which homes
 and probes make more than WORK pairs, is not joined row by row: homes and probes are dealt into blocks, and each pair of
 blocks returns the links of a spanning forest, which joins the same components without listing a dense group's pairs.
+Joins of tables as long as the input are merges: no such table goes through the driver as a broadcast.
 
 Fingerprints are the nodes, so repeated ids with different texts stay apart, and ties (equal fingerprints) are one node.
 Null and blank texts have fingerprint zero and link like any other. Rows with a null id get a fingerprint and the
@@ -96,8 +97,13 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"x": signed[np.array(a, int)], "y": signed[np.array(b, int)]})
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(x, y) fingerprints that connect every two fingerprints of ``distinct`` (fp: long, no repeats) within DISTANCE."""
+def links(distinct: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(x, y) fingerprints that connect every two fingerprints of ``distinct`` (fp: long, no repeats) within DISTANCE.
+
+    Spark takes exploded rows to be as few as the rows they come from, and would broadcast them through the driver: the
+    join with the homes is told to merge, and the crowded keys are written, so that their size is known.
+    """
+    scratch = scratch or Scratch(distinct.sparkSession)
     rows = []
     for k, (low, bits, radius) in enumerate(SEGMENTS):
         key = f"(shiftrightunsigned(fp, {low}) & {(1 << bits) - 1}L)"
@@ -108,8 +114,8 @@ def links(distinct: DataFrame) -> DataFrame:
     probes = rows[0].unionByName(rows[1]).unionByName(rows[2])
     homes = probes.filter("home").select("bucket", F.col("fp").alias("other"))
     counts = probes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("home"), 1)).alias("homes")).filter("homes > 0 AND n > 1")
-    hot = counts.filter((F.col("homes") > HOT) | (F.col("homes") * F.col("n") > WORK))
-    cold = probes.join(hot, "bucket", "left_anti").join(homes, "bucket").filter((F.expr("bit_count(fp ^ other)") <= DISTANCE) & ((~F.col("home")) | (F.col("fp") < F.col("other")))).select(F.col("fp").alias("x"), F.col("other").alias("y"))
+    hot = scratch.write(counts.filter((F.col("homes") > HOT) | (F.col("homes") * F.col("n") > WORK)))
+    cold = probes.join(hot, "bucket", "left_anti").join(homes.hint("merge"), "bucket").filter((F.expr("bit_count(fp ^ other)") <= DISTANCE) & ((~F.col("home")) | (F.col("fp") < F.col("other")))).select(F.col("fp").alias("x"), F.col("other").alias("y"))
     # a group of a block of homes and a block of members: each member once for every block of homes, each home for every block of members
     met = probes.join(hot, "bucket").select("bucket", "fp", "home", F.ceil(F.col("homes") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("n") / BLOCK).cast("int").alias("cols"), F.xxhash64("fp").alias("h"))
     as_home = met.filter("home").select("bucket", F.pmod("h", "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), "fp", F.lit(True).alias("home"))
@@ -120,20 +126,20 @@ def links(distinct: DataFrame) -> DataFrame:
 def _components(fps: DataFrame, scratch: Scratch) -> DataFrame:
     """(fp, component) of the distinct fingerprints of ``fps``; a component's name is one of its fingerprints."""
     distinct = scratch.write(fps.select("fp").distinct())
-    found = scratch.write(links(distinct))
+    found = scratch.write(links(distinct, scratch))
     parts = connected_components(found.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
-    return distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    return distinct.join(parts.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp: long, component_id) of every row; component_id is the smallest id reachable by links."""
     scratch = Scratch(docs.sparkSession)
     fps = scratch.write(fingerprints(docs, doc_id, text).drop("mark"))
-    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(_components(fps, scratch), "fp")
+    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(_components(fps, scratch).hint("merge"), "fp")
     groups = scratch.write(groups)
     least = groups.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_fp = scratch.write(groups.join(least, "component").select("fp", "component_id"))
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = scratch.write(groups.join(least.hint("merge"), "component").select("fp", "component_id"))
+    return fps.join(by_fp.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

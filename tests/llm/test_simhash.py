@@ -98,3 +98,16 @@ def test_one_of_each_goes_by_rows_not_ids(spark):
     want = [(1, base, "a"), (2, other, "c"), (3, "", "g"), (5, third + " x", "h")] + ([] if near else [(None, third, "e")])
     assert got == sorted(want, key=str)
     assert simhash.one_of_each(df.limit(0)).count() == 0 and simhash.one_of_each(df.limit(0)).columns == df.columns
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_exploded_table_is_broadcast(spark):
+    # ever so small a table of fingerprints is exploded into many times its rows; those must not go through the driver
+    df = spark.createDataFrame([(i, f"word{i} " * 3) for i in range(50)], "doc_id long, text string")
+    fps = simhash.fingerprints(df).select("fp").distinct()
+    assert not [part for part in plan(simhash.links(fps)).split("BroadcastExchange")[1:] if "Generate" in part.split("\n")[1]]
+    assert "SortMergeJoin" in plan(simhash.links(fps))
+    assert "Broadcast" not in plan(simhash.near_duplicates(df))
