@@ -152,11 +152,11 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     fps = scratch.write(fingerprints(docs, doc_id, text))
     key = F.struct(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark")
     groups = fps.groupBy("fp").agg(F.min(key).alias("key"))
-    kept = scratch.write(groups.join(_components(fps, scratch), "fp").groupBy("component").agg(F.min("key").alias("key")).select("key.*"))
+    kept = scratch.write(groups.join(_components(fps, scratch).hint("merge"), "fp").groupBy("component").agg(F.min("key").alias("key")).select("key.*"))
     id_ = F.col(f"`{doc_id}`").cast("long")
     plain = [F.col(f"`{f.name}`") for f in docs.schema if f.name != text and not f.dataType.simpleString().count("map<")]
     # the whole row is one column, so that its names clash with none of these
     rows = docs.select(F.struct("*").alias("row"), id_.isNull().alias("late"), F.coalesce(id_, F.lit(0)).alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("mark"), F.xxhash64(F.lit(0), *plain).alias("rest"))
     # copies of a row meet in the tasks that read them before they are shuffled; the join keeps that partitioning
     one = rows.groupBy("late", "id", "mark").agg(F.min_by("row", "rest").alias("row"))
-    return one.join(kept, ["late", "id", "mark"], "left_semi").select("row.*")
+    return one.join(kept.hint("merge"), ["late", "id", "mark"], "left_semi").select("row.*")

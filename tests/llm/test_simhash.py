@@ -111,3 +111,4 @@ def test_no_exploded_table_is_broadcast(spark):
     assert not [part for part in plan(simhash.links(fps)).split("BroadcastExchange")[1:] if "Generate" in part.split("\n")[1]]
     assert "SortMergeJoin" in plan(simhash.links(fps))
     assert "Broadcast" not in plan(simhash.near_duplicates(df))
+    assert "Broadcast" not in plan(simhash.one_of_each(df))
