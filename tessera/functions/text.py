@@ -11,13 +11,16 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # fixed values: the usual BM25 parameters
 K1, B = 1.2, 0.75
@@ -27,6 +30,10 @@ def _plain(c: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
 
 
+def _range(first: int, last: int) -> str:
+    return f"\\x{{{first:x}}}-\\x{{{last:x}}}"
+
+
 @cache
 def _accents() -> tuple[str, str, str]:
     """(characters, what they become, a pattern of all others that decompose); marks become nothing."""
@@ -42,8 +49,11 @@ def _accents() -> tuple[str, str, str]:
         else:
             marks.append(c)
     cuts = [0, *(i for i in range(1, len(others)) if others[i] != others[i - 1] + 1), len(others)]
-    ranges = "".join(f"\\x{{{others[a]:x}}}-\\x{{{others[b - 1]:x}}}" for a, b in zip(cuts, cuts[1:], strict=False))
-    return "".join(single) + "".join(marks), "".join(single.values()), f"[{ranges}]"
+    ranges = [(others[a], others[b - 1]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    # a class of plain ranges is tried range by range for every character of a text: parts of few ranges, each behind its
+    # bounds, are passed over at once
+    parts = [f"[{_range(part[0][0], part[-1][1])}&&[{''.join(_range(*r) for r in part)}]]" for part in (ranges[i : i + 16] for i in range(0, len(ranges), 16))]
+    return "".join(single) + "".join(marks), "".join(single.values()), f"[{_range(0x80, sys.maxunicode)}&&[{''.join(parts)}]]"
 
 
 def normalize(text: str | None) -> str:
@@ -84,6 +94,59 @@ def tokens(text: Column | str, stop: Sequence[str] = (), exact: bool = False) ->
     return out
 
 
+# one range is quickly passed over; the first combining character is U+0300
+_HIGH = re.compile("[\u0300-\U0010ffff]+")
+_WORD = re.compile(r"[^\W_]+")
+
+
+def _unmarked(found: re.Match) -> str:
+    return "".join(c for c in found[0] if not unicodedata.combining(c))
+
+
+def words(text: str) -> list[str]:
+    """What ``tokenize`` finds, for whole columns in Arrow batches: C code alone goes over the characters."""
+    return _WORD.findall(text.lower() if text.isascii() else _HIGH.sub(_unmarked, unicodedata.normalize("NFKD", text)).lower())
+
+
+def bags(rows: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
+    """(term, doc, tf) of the distinct tokens of each row of ``rows`` (doc, text), as flat Arrow columns; a null text has none."""
+    drop = {t for w in stop for t in tokenize(w)}
+    out = T.StructType([T.StructField("term", T.StringType()), T.StructField("doc", rows.schema["doc"].dataType), T.StructField("tf", T.LongType())])
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # texts are long: what a few hundred rows have is handed on at once
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                terms, of, tfs = [], [], []
+                for i, t in enumerate(part.column(1)):
+                    bag = Counter(words(t.as_py() or ""))
+                    for w in drop & bag.keys():
+                        del bag[w]
+                    terms.extend(bag)
+                    tfs.extend(bag.values())
+                    of.extend([i] * len(bag))
+                yield pa.RecordBatch.from_arrays([pa.array(terms, arrow[0].type), part.column(0).take(pa.array(of, pa.int64())).cast(arrow[1].type), pa.array(tfs, pa.int64())], schema=arrow)
+
+    return rows.select("doc", F.col("text").cast("string")).mapInArrow(run, out)
+
+
+def counts(text: Column, terms: Sequence[str], stop: Sequence[str] = ()) -> Column:
+    """The number of a text's tokens, then those of each of ``terms``, as one array; null for null."""
+    drop, asked = {t for w in stop for t in tokenize(w)}, list(terms)
+
+    @F.pandas_udf("array<bigint>")
+    def count(texts: pd.Series) -> pd.Series:
+        def one(t):
+            found = [w for w in words(t) if w not in drop] if drop else words(t)
+            return [len(found), *map(found.count, asked)]
+
+        return texts.map(lambda t: None if t is None else one(t))
+
+    return count(text)
+
+
 def term_frequency(toks: Column, term: str) -> Column:
     return F.size(F.filter(toks, lambda t: t == term))
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import QueryError
 from tessera.functions import text as tx
+from tessera.scratch import folder
 
 METHODS = ("bm25", "tf_idf")
 
@@ -59,20 +60,41 @@ def bm25(df: DataFrame, text: str, query: str, alias: str = "score", stop: Seque
 
 
 def postings(df: DataFrame, key: str, text: str, stop: Sequence[str] = ()) -> DataFrame:
-    """(term, doc, tf): the in-memory blocks, sorted spills and merge of an index builder are the shuffle's own."""
-    toks = df.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.explode(tx.tokens(text, stop)).alias("term"))
-    return toks.groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"))
+    """(term, doc, tf). A document's counts are made where it is read; only rows that share a key are shuffled, to be added up."""
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text"))
+
+    def counted(found: DataFrame) -> DataFrame:
+        return tx.bags(found.select("doc", "text"), stop)
+
+    repeated = _stored(rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc").alias("again")), "repeated")
+    if repeated.isEmpty():
+        return counted(rows)
+    same = F.col("doc").eqNullSafe(F.col("again"))
+    more = counted(rows.join(repeated, same, "left_semi")).groupBy("term", "doc").agg(F.sum("tf").alias("tf"))
+    return counted(rows.join(repeated, same, "left_anti")).unionByName(more)
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """A derived table as a file, so that its size is known when a join is planned."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def document_frequencies(posts: DataFrame) -> DataFrame:
+    """(term, df), stored: added up in the tasks that count, and broadcast to the postings if it is small."""
+    return _stored(posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
 
 
 def doc_lengths(df: DataFrame, key: str, text: str, stop: Sequence[str] = ()) -> DataFrame:
     return df.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.size(tx.tokens(text, stop)).cast("long").alias("len"))
 
 
-def doc_norms(posts: DataFrame, n: Column | int, frequencies: DataFrame) -> DataFrame:
-    """(doc, norm) of TF-IDF vectors over all terms."""
+def doc_norms(posts: DataFrame, n: Column | int, frequencies: DataFrame, *more: Column) -> DataFrame:
+    """(doc, norm) of TF-IDF vectors over all terms, and further aggregates of a document's postings."""
     count = n if isinstance(n, Column) else F.lit(n)
     w = F.col("tf") * tx.tfidf_idf(count, F.col("df"))
-    return posts.join(frequencies, "term").groupBy("doc").agg(F.sqrt(F.sum(w * w)).alias("norm"))
+    return posts.join(frequencies, "term").groupBy("doc").agg(F.sqrt(F.sum(w * w)).alias("norm"), *more)
 
 
 def tfidf_cosine(df: DataFrame, key: str, text: str, query: str, alias: str = "score", stop: Sequence[str] = ()) -> DataFrame:

@@ -223,10 +223,9 @@ def postings(t):
 @query(f"{_POSTINGS}, corpus AS (SELECT count(*) AS n FROM tok), df AS (SELECT term, count(*) AS df FROM post GROUP BY term) SELECT doc, round(sqrt(sum(pow(tf * ln(1 + n / df), 2))), 6) AS norm, sum(tf)::BIGINT AS length FROM post JOIN df USING (term), corpus GROUP BY doc")
 def doc_stats(t):
     posts = search.postings(t("documents"), "doc_id", "text")
-    frequencies = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = t("documents").where("text IS NOT NULL").agg(F.count(F.lit(1)).alias("n"))
-    norms = search.doc_norms(posts.crossJoin(F.broadcast(n)), F.col("n"), frequencies)
-    return norms.join(posts.groupBy("doc").agg(F.sum("tf").alias("length")), "doc").select("doc", F.round("norm", 6).alias("norm"), "length")
+    stats = search.doc_norms(posts.crossJoin(F.broadcast(n)), F.col("n"), search.document_frequencies(posts), F.sum("tf").alias("length"))
+    return stats.select("doc", F.round("norm", 6).alias("norm"), "length")
 
 
 @query(f"SELECT count(*) AS n, round(avg(len(t)), 6) AS avgdl FROM ({_TOK})")

@@ -271,3 +271,27 @@ def test_of_overlapping_chains_the_longer_stays(spark):
     rows = [(i, 7, i + 3, 0.9) for i in range(1, 6)] + [(i, 7, i + 20, 0.95) for i in range(4, 7)] + [(i, 7, i + 40, 0.8) for i in range(9, 11)]
     got = {(r.query_start_s, r.segments, r.similarity_pct) for r in segments.detect(candidates(spark, rows)).collect()}
     assert got == {(2.5, 5, 90.0), (22.5, 2, 80.0)}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rare_decompositions_are_found_quickly(spark):
+    # in parts of few ranges, so that most characters are passed over at once; the same characters as in one class
+    pattern = tx._accents()[2]
+    assert max(part.count("\\x{") // 2 for part in pattern.split("&&")) <= 18
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    known = set(tx._accents()[0])
+    want = [c for c in chars if tx._plain(c) != c and c not in known]
+    df = spark.createDataFrame([(c,) for c in chars if ord(c) < 0x3400 or 0xF900 <= ord(c) < 0x20000], "c string")
+    assert sorted(r.c for r in df.where(F.col("c").rlike(pattern)).collect()) == sorted(c for c in want if ord(c) < 0x3400 or 0xF900 <= ord(c) < 0x20000)
+
+
+def test_postings_are_counted_where_they_are_read(spark):
+    rows = [(1, "uno DOS dos"), (2, None), (3, ""), (4, "ﬁn crème crème"), (1, "dos tres"), (None, "uno"), (None, "uno tres")]
+    want = {("uno", 1): 1, ("dos", 1): 3, ("tres", 1): 1, ("fin", 4): 1, ("creme", 4): 2, ("uno", None): 2, ("tres", None): 1}
+    for found, expected in ((rows, want), (rows[:4], {("uno", 1): 1, ("dos", 1): 2, ("fin", 4): 1, ("creme", 4): 2})):
+        got = search.postings(spark.createDataFrame(found, "id long, t string"), "id", "t")
+        assert {(r.term, r.doc): r.tf for r in got.collect()} == expected and got.count() == len(expected)
+    assert "Exchange" not in plan(got)
