@@ -59,6 +59,24 @@ def bm25(df: DataFrame, text: str, query: str, alias: str = "score", stop: Seque
     return scored.select(*df.columns, F.coalesce(total, F.lit(0.0)).alias(alias))
 
 
+def bm25_batch(df: DataFrame, key: str, text: str, queries: Sequence[tuple[str, str]]) -> DataFrame:
+    """(query, key, score, every) of each document and each named query: its BM25 score, and whether it has every term. Texts are read once for all."""
+    asked = [(name, sorted(set(query_terms(q)))) for name, q in queries]
+    terms = sorted({t for _, ts in asked for t in ts})
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias(key), tx.counts(F.col(text), terms).alias("_c"))
+    rows = _stored(rows, "counts").select(key, F.get("_c", F.lit(0)).alias("_len"), *[F.get("_c", F.lit(i + 1)).alias(f"_tf{i}") for i in range(len(terms))])
+    stats = rows.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avgdl"), *[F.count(F.when(F.col(f"_tf{i}") > 0, 1)).alias(f"_df{i}") for i in range(len(terms))])
+    found = []
+    for name, ts in asked:
+        at = [terms.index(t) for t in ts]
+        total, every = F.lit(0.0), F.lit(True)
+        for i in at:
+            total = total + tx.bm25_weight(F.col(f"_tf{i}"), F.col("_len"), F.col("_avgdl"), tx.bm25_idf(F.col("_n"), F.col(f"_df{i}")))
+            every = every & (F.col(f"_tf{i}") > 0)
+        found.append(F.struct(F.lit(name).alias("query"), total.alias("score"), every.alias("every")))
+    return rows.crossJoin(F.broadcast(stats)).select(key, F.explode(F.array(*found)).alias("f")).select("f.query", key, "f.score", "f.every")
+
+
 def postings(df: DataFrame, key: str, text: str, stop: Sequence[str] = ()) -> DataFrame:
     """(term, doc, tf). A document's counts are made where it is read; only rows that share a key are shuffled, to be added up."""
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text"))

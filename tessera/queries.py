@@ -305,12 +305,9 @@ _PR = [("q1", "the of thing"), ("q2", "la de"), ("q3", "und der"), ("q4", "para
     )
 )
 def precision_recall_at_10(t):
-    ranked = relevant = None
-    for name, q in _PR:
-        top = search.top_k(search.bm25(t("documents"), "text", q).where("score > 0"), "doc_id", 10).select(F.lit(name).alias("query"), "doc_id", "score")
-        rel = search.match(t("documents"), "text", q, "and").select(F.lit(name).alias("query"), "doc_id")
-        ranked, relevant = (top, rel) if ranked is None else (ranked.unionByName(top), relevant.unionByName(rel))
-    ranked = evaluation.rank_by(ranked, "query", F.col("score").desc(), F.col("doc_id"))
+    found = search.bm25_batch(t("documents"), "doc_id", "text", _PR)
+    ranked = evaluation.rank_by(found.where("score > 0"), "query", F.col("score").desc(), F.col("doc_id")).where("rank <= 10")
+    relevant = found.where("every")
     return evaluation.precision_recall(ranked, relevant, "query", "doc_id", 10).withColumn("recall", F.round("recall", 6))
 
 

@@ -295,3 +295,7 @@ def test_postings_are_counted_where_they_are_read(spark):
         got = search.postings(spark.createDataFrame(found, "id long, t string"), "id", "t")
         assert {(r.term, r.doc): r.tf for r in got.collect()} == expected and got.count() == len(expected)
     assert "Exchange" not in plan(got)
+
+
+def test_precision_reads_the_texts_once(spark):
+    assert "documents.parquet" not in plan(queries.QUERIES["precision_recall_at_10"](spark, "/root/testdata/sf0.001"))
