@@ -119,7 +119,7 @@ def tfidf_cosine(df: DataFrame, key: str, text: str, query: str, alias: str = "s
     """(key, score) of the documents that share a term with the query; repeats of a term in the query count."""
     counts = Counter(query_terms(query, stop))
     posts = postings(df, key, text, stop)
-    frequencies = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    frequencies = document_frequencies(posts)
     n = df.where(F.col(text).isNotNull()).agg(F.count(F.lit(1)).alias("n"))
     return _cosine(posts, frequencies, n, None, counts).select(F.col("doc").alias(key), F.col("score").alias(alias))
 
