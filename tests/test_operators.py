@@ -299,3 +299,7 @@ def test_postings_are_counted_where_they_are_read(spark):
 
 def test_precision_reads_the_texts_once(spark):
     assert "documents.parquet" not in plan(queries.QUERIES["precision_recall_at_10"](spark, "/root/testdata/sf0.001"))
+
+
+def test_customers_of_few_nations_are_dealt_out(spark):
+    assert "REPARTITION_BY_NUM" in plan(queries.QUERIES["distance_column_target"](spark, "/root/testdata/sf0.001"))
